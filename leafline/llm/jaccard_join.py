@@ -8,8 +8,8 @@
    both prefixes, or they can't link.
 4. Star round: each shared prefix shingle links its nodes to the smallest of them; these pairs, linear in the postings, are verified
    and make most components. Frequent shingles are salted and their salts' smallest nodes meet once more.
-5. Exact rest: only pairs of nodes in different components remain; they are counted by shingle, filtered by m and by size, and
-   verified. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
+5. Exact rest: only pairs of nodes in different components remain; they are counted by shingle, filtered by size and by the matches
+   that their sizes and prefixes ask for (m at least, more for sets of like size), and verified. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
 """
 
 from __future__ import annotations
@@ -276,7 +276,9 @@ def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int
     w = Window.partitionBy("shingle", "salt")
     live = posts.withColumn("pivot", F.min("node").over(w)).withColumn("last", F.max("node").over(w))
     live = written(live.filter("pivot <> last or salt > 0").drop("last"), "postings")
-    stars = live.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    # a star's pairs only speed things up, so those that share few shingles are left to the exact rest
+    stars = live.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    stars = stars.filter("10 * shared >= size").select("a", "b")
     over = live.filter("salt > 0").select("shingle", "pivot").distinct()
     over = over.withColumn("a", F.min("pivot").over(Window.partitionBy("shingle"))).filter("a <> pivot").select("a", F.col("pivot").alias("b"))
     pairs = pinned(stars.unionByName(over).distinct())
@@ -288,8 +290,12 @@ def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int
     rest = written(rest.join(several, "shingle", "left_semi"), "rest")
     x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "m", "component")]) for k in "xy")
     near = f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)"
-    counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b")).agg(F.count("*").alias("shared"), F.least(F.first("m_x"), F.first("m_y")).alias("m"))
-    more = counted.filter("shared >= m").select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    counted = counted.agg(F.count("*").alias("shared"), *[F.first(f"{c}_{k}").cast("long").alias(f"{c}_{k}") for c in ("size", "m") for k in "xy"])
+    # shared shingles beyond the end of the prefix that ends first are at most the rest of its set
+    over = F.greatest(*[F.ceil(F.col(f"size_{k}") * percent / 100) - F.col(f"m_{k}") for k in "xy"])
+    needed = F.greatest(F.least("m_x", "m_y"), F.ceil((F.col("size_x") + F.col("size_y")) * percent / (100 + percent)) - over)
+    more = counted.filter(F.col("shared") >= needed).select("a", "b").join(pairs, ["a", "b"], "left_anti")
     more = pinned(more)
     if more.isEmpty():
         return found
