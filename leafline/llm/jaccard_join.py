@@ -6,8 +6,9 @@
 3. Each node takes the prefix that must hold m shingles of any partner, n - ceil(0.75 n) + m, where m from 1 to MOST_MATCHES is the
    one of least estimated cost: postings read, and candidates (postings / m) to verify. Two nodes share at least the smaller m of
    both prefixes, or they can't link.
-4. Star round: each shared prefix shingle links its nodes to the smallest of them; these pairs, linear in the postings, are verified
-   and make most components. Frequent shingles are salted and their salts' smallest nodes meet once more.
+4. Star round: each shared prefix shingle links its nodes to the most central of them (the one whose shingles are the most frequent,
+   as a text's are whose edited copies abound); these pairs, linear in the postings, are verified and make most components. Frequent
+   shingles are salted and their salts' central nodes meet once more.
 5. Exact rest: only pairs of nodes in different components remain; they are counted by shingle, filtered by size and by the matches
    that their sizes and prefixes ask for (m at least, more for sets of like size), and verified. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
 """
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,8 +65,9 @@ class Sketch:
     def levels(self, s: np.ndarray) -> np.ndarray:
         return self.level[(s >> np.uint64(44)).astype(np.int64)]
 
-    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The adaptive prefix of a set: shingles, their levels (log2 of the estimated frequency), and the matches it asks for."""
+    def prefix(self, s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        """The adaptive prefix of a set: shingles, their levels (log2 of the estimated frequency), the matches it asks for, and how
+        central the set is: its mean level in thousandths, largest where no edit has made a shingle rare."""
         n = len(s)
         level = self.levels(s)
         order = np.lexsort((s, level))
@@ -78,7 +80,7 @@ class Sketch:
             if total < best:
                 best, m = total, k
         take = order[: n - least + m]
-        return s[take], level[take], m
+        return s[take], level[take], m, int(1000 * level.mean())
 
 
 def merged_counts(df: DataFrame, make, length: int, dtype) -> np.ndarray:
@@ -159,11 +161,11 @@ def to_arrow(kind):
 
 
 def postings(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent: int) -> DataFrame:
-    """shingle, salt, node, size, m: the prefix of every node. A copy is left out where its task has seen the node."""
+    """shingle, salt, node, size, m, central: the prefix of every node. A copy is left out where its task has seen the node."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
-    schema = "shingle long, salt int, node long, size int, m byte"
-    names = ["shingle", "salt", "node", "size", "m"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8()]
+    schema = "shingle long, salt int, node long, size int, m byte, central int"
+    names = ["shingle", "salt", "node", "size", "m", "central"]
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32()]
 
     def run(batches):
         seen: set[int] = set()
@@ -175,10 +177,10 @@ def postings(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                take, level, m = sent.value.prefix(s, percent)
+                take, level, m, central = sent.value.prefix(s, percent)
                 salts = np.where(level >= int(np.log2(HOT_DF)), np.exp2(level).astype(np.int64) // SALT_DF + 1, 0)
                 salt = np.where(salts > 0, (node >> 2) % np.maximum(salts, 1) + 1, 0)
-                for x, y in zip(parts, (take.astype(np.int64), salt, np.full(len(take), node), np.full(len(take), len(s)), np.full(len(take), m))):
+                for x, y in zip(parts, (take.astype(np.int64), salt, np.full(len(take), node), np.full(len(take), len(s)), np.full(len(take), m), np.full(len(take), central))):
                     x.append(y)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(t) for x, t in zip(parts, types)], names)
@@ -269,25 +271,24 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, words: int, perce
 
 def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent: int) -> DataFrame:
     """node and component for every node that is linked with another."""
-    group = F.struct("shingle", "salt")
     posts = postings(docs, text_col, sketch, words, percent)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("shingle", "salt")
-    live = posts.withColumn("pivot", F.min("node").over(w)).withColumn("last", F.max("node").over(w))
-    live = written(live.filter("pivot <> last or salt > 0").drop("last"), "postings")
+    by = Window.partitionBy("shingle", "salt")
+    rank = F.struct("central", "node")
+    live = posts.withColumn("pivot", F.max(rank).over(by)).withColumn("last", F.min(rank).over(by)).filter("pivot <> last or salt > 0")
+    live = written(live.select("shingle", "salt", "node", "size", "m", "pivot"), "postings")
     # a star's pairs only speed things up, so those that share few shingles are left to the exact rest
-    stars = live.filter("node <> pivot").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    stars = stars.filter("10 * shared >= size").select("a", "b")
+    stars = live.filter("node <> pivot.node").groupBy(F.col("pivot.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.first("size").alias("size"))
+    stars = stars.filter("20 * shared >= size").select("a", "b")
     over = live.filter("salt > 0").select("shingle", "pivot").distinct()
-    over = over.withColumn("a", F.min("pivot").over(Window.partitionBy("shingle"))).filter("a <> pivot").select("a", F.col("pivot").alias("b"))
+    over = over.withColumn("a", F.max("pivot").over(Window.partitionBy("shingle"))).filter("a <> pivot").select(F.col("a.node").alias("a"), F.col("pivot.node").alias("b"))
     pairs = pinned(stars.unionByName(over).distinct())
     links = pinned(verified(docs, text_col, pairs, words, percent))
     found = pinned(components(links))
 
-    rest = live.drop("pivot", "salt").dropDuplicates(["shingle", "node"]).join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = rest.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("shingle")
-    rest = written(rest.join(several, "shingle", "left_semi"), "rest")
+    by = Window.partitionBy("shingle")
+    rest = live.drop("pivot", "salt").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = rest.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).filter("low <> high")
+    rest = written(rest.drop("low", "high").dropDuplicates(["shingle", "node"]), "rest")
     x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "m", "component")]) for k in "xy")
     near = f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)"
     counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
