@@ -49,12 +49,10 @@ class TestSuffixes:
             n = min(window, len(ws))
             first = len(words)
             words += [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws]
-            for s in range(len(ws) - n + 1):
+            for s in range(len(ws) - n + 1 if n else 0):
                 starts.append(first + s)
                 item.append(k)
                 need.append(n)
-            if not n:
-                continue
         self.flat = np.array([*words, *[0] * 64], np.int64)
         self.start, self.item, self.need = (np.array(x, np.int64) for x in (starts, item, need))
         sizes = np.cumsum([0, *[len(ws) for _, ws in items]])
