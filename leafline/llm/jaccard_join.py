@@ -10,7 +10,8 @@
    as a text's are whose edited copies abound); these pairs, linear in the postings, are verified and make most components. Frequent
    shingles are salted and their salts' central nodes meet once more.
 5. Exact rest: only pairs of nodes in different components remain; they are counted by shingle, filtered by size and by the matches
-   that their sizes and prefixes ask for (m at least, more for sets of like size), and verified. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
+   that their sizes and prefixes ask for (m at least, more for sets of like size), and verified. Prefix shingles that no other
+   component has bound a node's overlap, and drop pairs that can't reach it before they are made. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
 """
 
 from __future__ import annotations
@@ -288,9 +289,16 @@ def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int
     by = Window.partitionBy("shingle")
     rest = live.drop("pivot", "salt").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = rest.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).filter("low <> high")
-    rest = written(rest.drop("low", "high").dropDuplicates(["shingle", "node"]), "rest")
-    x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "m", "component")]) for k in "xy")
-    near = f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)"
+    rest = rest.drop("low", "high").dropDuplicates(["shingle", "node"])
+    # prefix shingles that aren't here are shared with no other component, so they bound what a node can share with one
+    gone = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("m") - F.count("*").over(Window.partitionBy("node"))
+    rest = rest.withColumn("most", (F.col("size") - gone).cast("int")).filter(100 * F.col("most") >= percent * F.col("size"))
+    rest = written(rest, "rest")
+    x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "m", "component", "most")]) for k in "xy")
+    near = (
+        f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) "
+        f"and {100 + percent} * least(most_x, most_y) >= {percent} * (size_x + size_y)"
+    )
     counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     counted = counted.agg(F.count("*").alias("shared"), *[F.first(f"{c}_{k}").cast("long").alias(f"{c}_{k}") for c in ("size", "m") for k in "xy"])
     # shared shingles beyond the end of the prefix that ends first are at most the rest of its set
