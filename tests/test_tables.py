@@ -11,8 +11,13 @@ D = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+def number(v: float):
+    """pandas turns whole numbers into floats where a column has nulls."""
+    return int(v) if float(v).is_integer() else round(float(v), 6)
+
+
 def rows(df, columns):
-    clean = lambda v: None if v is None or v is pd.NA or v != v else round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
+    clean = lambda v: None if v is None or v is pd.NA or v != v else number(v) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
     return sorted(repr([clean(v) for v in r]) for r in df[columns].itertuples(index=False, name=None))
 
 
