@@ -9,8 +9,8 @@
 4. Star round: each shared prefix shingle links its nodes to the most central of them (the one whose shingles are the most frequent,
    as a text's are whose edited copies abound); these pairs, linear in the postings, are verified and make most components. Frequent
    shingles are salted and their salts' central nodes meet once more.
-5. Exact rest: only pairs of nodes in different components remain; they are counted by shingle, filtered by size and by the matches
-   that their sizes and prefixes ask for (m at least, more for sets of like size), and verified. Prefix shingles that no other
+5. Exact rest: only pairs of nodes in different components remain; they are filtered by size, counted by the shingles that
+   rank early enough in both sets (a pair of like size needs a shorter prefix than one set by itself does), and verified. Prefix shingles that no other
    component has bound a node's overlap, and drop pairs that can't reach it before they are made. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
 """
 
@@ -27,6 +27,8 @@ from .components import components
 from .shingles import mixed, shingle_sets
 
 WORDS, PERCENT, MOST_MATCHES = 5, 75, 4
+#: Matches asked of a pair in the exact rest: more make more rows to count, fewer more pairs to verify.
+PAIR_MATCHES = 2
 #: Counters of the frequency sketch (4 bytes each) and bits of the candidate filter: fixed sizes, whatever the corpus.
 COUNTERS, FILTER_BITS, SLICES = 1 << 20, 1 << 25, 64
 #: Estimated documents of a shingle from which it is salted, and in one salt.
@@ -162,11 +164,11 @@ def to_arrow(kind):
 
 
 def postings(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent: int) -> DataFrame:
-    """shingle, salt, node, size, m, central: the prefix of every node. A copy is left out where its task has seen the node."""
+    """shingle, rank, salt, node, size, m, central: the prefix of every node, rank counting from 0 in the global order. A copy is left out where its task has seen the node."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
-    schema = "shingle long, salt int, node long, size int, m byte, central int"
-    names = ["shingle", "salt", "node", "size", "m", "central"]
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32()]
+    schema = "shingle long, rank int, salt int, node long, size int, m byte, central int"
+    names = ["shingle", "rank", "salt", "node", "size", "m", "central"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32()]
 
     def run(batches):
         seen: set[int] = set()
@@ -181,7 +183,7 @@ def postings(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent
                 take, level, m, central = sent.value.prefix(s, percent)
                 salts = np.where(level >= int(np.log2(HOT_DF)), np.exp2(level).astype(np.int64) // SALT_DF + 1, 0)
                 salt = np.where(salts > 0, (node >> 2) % np.maximum(salts, 1) + 1, 0)
-                for x, y in zip(parts, (take.astype(np.int64), salt, np.full(len(take), node), np.full(len(take), len(s)), np.full(len(take), m), np.full(len(take), central))):
+                for x, y in zip(parts, (take.astype(np.int64), np.arange(len(take)), salt, np.full(len(take), node), np.full(len(take), len(s)), np.full(len(take), m), np.full(len(take), central))):
                     x.append(y)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(t) for x, t in zip(parts, types)], names)
@@ -276,7 +278,7 @@ def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int
     by = Window.partitionBy("shingle", "salt")
     rank = F.struct("central", "node")
     live = posts.withColumn("pivot", F.max(rank).over(by)).withColumn("last", F.min(rank).over(by)).filter("pivot <> last or salt > 0")
-    live = written(live.select("shingle", "salt", "node", "size", "m", "pivot"), "postings")
+    live = written(live.select("shingle", "rank", "salt", "node", "size", "m", "pivot"), "postings")
     # a star's pairs only speed things up, so those that share few shingles are left to the exact rest
     stars = live.filter("node <> pivot.node").groupBy(F.col("pivot.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"), F.first("size").alias("size"))
     stars = stars.filter("20 * shared >= size").select("a", "b")
@@ -294,17 +296,21 @@ def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int
     gone = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("m") - F.count("*").over(Window.partitionBy("node"))
     rest = rest.withColumn("most", (F.col("size") - gone).cast("int")).filter(100 * F.col("most") >= percent * F.col("size"))
     rest = written(rest, "rest")
-    x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "size", "m", "component", "most")]) for k in "xy")
-    near = (
+    names = ("node", "size", "m", "component", "most", "rank")
+    x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
+    # a link shares least shingles, so k of them rank below size - least + k in both sets, for each k that both prefixes have room for
+    least = F.ceil((F.col("size_x") + F.col("size_y")) * percent / (100 + percent))
+    room = least - F.greatest(*[F.ceil(F.col(f"size_{k}") * percent / 100) - F.col(f"m_{k}") for k in "xy"])
+    needed = F.least(F.lit(PAIR_MATCHES), F.greatest(F.least("m_x", "m_y"), room))
+    near = F.expr(
         f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) "
         f"and {100 + percent} * least(most_x, most_y) >= {percent} * (size_x + size_y)"
     )
+    for k in "xy":
+        near &= F.col(f"rank_{k}") < F.col(f"size_{k}") - least + needed
     counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
-    counted = counted.agg(F.count("*").alias("shared"), *[F.first(f"{c}_{k}").cast("long").alias(f"{c}_{k}") for c in ("size", "m") for k in "xy"])
-    # shared shingles beyond the end of the prefix that ends first are at most the rest of its set
-    over = F.greatest(*[F.ceil(F.col(f"size_{k}") * percent / 100) - F.col(f"m_{k}") for k in "xy"])
-    needed = F.greatest(F.least("m_x", "m_y"), F.ceil((F.col("size_x") + F.col("size_y")) * percent / (100 + percent)) - over)
-    more = counted.filter(F.col("shared") >= needed).select("a", "b").join(pairs, ["a", "b"], "left_anti")
+    counted = counted.agg(F.count("*").alias("shared"), F.first(needed).alias("needed"))
+    more = counted.filter("shared >= needed").select("a", "b").join(pairs, ["a", "b"], "left_anti")
     more = pinned(more)
     if more.isEmpty():
         return found
