@@ -91,11 +91,13 @@ def mix(docs: DataFrame, *, id_col="doc_id", source_col="source", text_col="text
     at = slim.withColumn("key", F.struct("source")).join(rates, "key", "left")
     at = at.withColumn("bucket", F.floor(((F.col("order") / F.lit(2.0**63)) + 1.0) / 2.0 * F.col("buckets")).cast("long"))
     at = at.withColumn("bucket", F.least(F.col("bucket"), F.col("buckets") - 1))
-    before = at.groupBy("key", "bucket").agg(F.sum("size").alias("words"))
-    by_bucket = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("key", "bucket", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("key", "bucket").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at = at.join(before, ["key", "bucket"]).withColumn("offset", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    # one column, else rows that the join has dealt by source count as dealt by source and bucket, and a source's meet in one task
+    at = at.withColumn("cell", F.struct("key", "bucket"))
+    before = at.groupBy("cell").agg(F.sum("size").alias("words"))
+    by_bucket = Window.partitionBy("cell.key").orderBy("cell.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("cell", F.coalesce(F.sum("words").over(by_bucket), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("cell").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    at = at.join(before, "cell").withColumn("offset", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     extra = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), F.col("quota") - F.col("offset")))
     return at.select(
         "row", "size", "source_size", "target", "rate",
