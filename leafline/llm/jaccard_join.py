@@ -11,7 +11,9 @@
    shingles are salted and their salts' central nodes meet once more.
 5. Exact rest: only pairs of nodes in different components remain; they are filtered by size, counted by the shingles that
    rank early enough in both sets (a pair of like size needs a shorter prefix than one set by itself does), and verified. Prefix shingles that no other
-   component has bound a node's overlap, and drop pairs that can't reach it before they are made. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
+   component has bound a node's overlap, and drop pairs that can't reach it before they are made; so do the parities of
+   the sets, whose differing bits are no more than the shingles that only one of the two has. Nothing is capped: a pair is left out
+   only if its components are the same or the counts prove it dissimilar.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ WORDS, PERCENT, MOST_MATCHES = 5, 75, 4
 PAIR_MATCHES = 2
 #: Counters of the frequency sketch (4 bytes each) and bits of the candidate filter: fixed sizes, whatever the corpus.
 COUNTERS, FILTER_BITS, SLICES = 1 << 20, 1 << 25, 64
+#: Longs of a set's parity: bit k tells whether an odd number of its shingles hash to k.
+PARITY_LONGS = 8
 #: Estimated documents of a shingle from which it is salted, and in one salt.
 HOT_DF, SALT_DF = 2000, 1000
 #: Cost of verifying a candidate, in postings.
@@ -52,6 +56,15 @@ def fingerprints(sets: list[np.ndarray]) -> list[int | None]:
     return out
 
 
+def parities(sets: list[np.ndarray]) -> pa.ListArray:
+    """PARITY_LONGS longs for each set. Two sets' differing bits are at most their symmetric difference, and so bound their overlap."""
+    width, k = 64 * PARITY_LONGS, len(sets)
+    bits = np.zeros((k, width), np.uint8)
+    for row, s in zip(bits, sets):
+        row[:] = np.bincount((mixed(s) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * PARITY_LONGS, pa.int32()), pa.array(np.packbits(bits, axis=1).reshape(-1).view(np.int64)))
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
@@ -118,11 +131,11 @@ def merged_counts(df: DataFrame, make, length: int, dtype) -> np.ndarray:
 
 
 def nodes_and_sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, Sketch]:
-    """One pass: every document's node and set size, and the sketch. Kept as a table, as both readings need it."""
+    """One pass: every document's node, set size and parity, and the sketch. Kept as a table, as both readings need it."""
     id_type = docs.schema[docs.columns.index(id_col)].dataType
     schema = T.StructType([
         T.StructField("id", id_type), T.StructField("n", T.IntegerType()), T.StructField("node", T.LongType()),
-        T.StructField("slice", T.IntegerType()), T.StructField("payload", T.BinaryType()),
+        T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("slice", T.IntegerType()), T.StructField("payload", T.BinaryType()),
     ])
     step = COUNTERS // SLICES
 
@@ -133,13 +146,13 @@ def nodes_and_sketch(docs: DataFrame, id_col: str, text_col: str, words: int) ->
             n, node, k = [*map(len, sets)], fingerprints(sets), len(sets)
             if k:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), parities(sets), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema.names)
         id_arrow = None
         for k in range(SLICES):
             part = counts[k * step : (k + 1) * step]
             if part.any():
                 id_arrow = id_arrow or to_arrow(id_type)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema.names)
 
     both = written(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema), "shingles")
 
@@ -154,7 +167,7 @@ def nodes_and_sketch(docs: DataFrame, id_col: str, text_col: str, words: int) ->
         return next(add(batches))
 
     counts = merged_counts(both.filter("payload is not null").select("slice", "payload"), make, COUNTERS, np.uint32)
-    return both.filter("payload is null").select("id", "n", "node"), Sketch(counts)
+    return both.filter("payload is null").select("id", "n", "node", "parity"), Sketch(counts)
 
 
 def to_arrow(kind):
@@ -272,8 +285,8 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, words: int, perce
     return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent: int) -> DataFrame:
-    """node and component for every node that is linked with another."""
+def linked_components(docs: DataFrame, text_col: str, rows: DataFrame, sketch: Sketch, words: int, percent: int) -> DataFrame:
+    """node and component for every node that is linked with another; rows has their parities."""
     posts = postings(docs, text_col, sketch, words, percent)
     by = Window.partitionBy("shingle", "salt")
     rank = F.struct("central", "node")
@@ -295,8 +308,9 @@ def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int
     # prefix shingles that aren't here are shared with no other component, so they bound what a node can share with one
     gone = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("m") - F.count("*").over(Window.partitionBy("node"))
     rest = rest.withColumn("most", (F.col("size") - gone).cast("int")).filter(100 * F.col("most") >= percent * F.col("size"))
-    rest = written(rest, "rest")
-    names = ("node", "size", "m", "component", "most", "rank")
+    parity = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
+    rest = written(rest.join(parity, "node"), "rest")
+    names = ("node", "size", "m", "component", "most", "rank", "parity")
     x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
     # a link shares least shingles, so k of them rank below size - least + k in both sets, for each k that both prefixes have room for
     least = F.ceil((F.col("size_x") + F.col("size_y")) * percent / (100 + percent))
@@ -308,6 +322,8 @@ def linked_components(docs: DataFrame, text_col: str, sketch: Sketch, words: int
     )
     for k in "xy":
         near &= F.col(f"rank_{k}") < F.col(f"size_{k}") - least + needed
+    apart = sum((F.bit_count(F.col("parity_x")[k].bitwiseXOR(F.col("parity_y")[k])) for k in range(PARITY_LONGS)), F.lit(0))
+    near &= apart <= F.col("size_x") + F.col("size_y") - 2 * least
     counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     counted = counted.agg(F.count("*").alias("shared"), F.first(needed).alias("needed"))
     more = counted.filter("shared >= needed").select("a", "b").join(pairs, ["a", "b"], "left_anti")
@@ -326,7 +342,7 @@ def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", words=
     """
     slim = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     rows, sketch = nodes_and_sketch(slim, "id", "text", words)
-    found = linked_components(slim, "text", sketch, words, percent)
+    found = linked_components(slim, "text", rows, sketch, words, percent)
     nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(found, "node", "left")
     nodes = nodes.select("node", "id", F.coalesce("component", "node").alias("component"))
     least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))

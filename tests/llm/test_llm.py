@@ -167,6 +167,15 @@ def test_jaccard(spark, docs):
     assert jaccard_join.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 600, n).astype(np.uint64)) for n in (1, 5, 40, 300, 2000)] + [np.zeros(0, np.uint64)]
+    longs = [np.array(x, np.int64).view(np.uint64) for x in jaccard_join.parities(sets).to_pylist()]
+    for x, p in zip(sets, longs):
+        for y, q in zip(sets, longs):
+            assert sum(int(k).bit_count() for k in p ^ q) <= len(np.setxor1d(x, y))
+
+
 def test_licenses(docs):
     got = by_row(license_scan.find_licenses(docs), "licenses", "whole")
     assert got[3] == (["MIT"], False) and got[4] == ([], False)
