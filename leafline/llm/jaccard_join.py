@@ -9,6 +9,8 @@
 4. Star round: each shared prefix shingle links its nodes to the most central of them (the one whose shingles are the most frequent,
    as a text's are whose edited copies abound); these pairs, linear in the postings, are verified and make most components. Frequent
    shingles are salted and their salts' central nodes meet once more.
+   A second round, among nodes of different components, takes some pivots of each shingle by hash: edited copies that have lost their
+   central text meet through many different pivots. Its pairs are linear in the postings too.
 5. Exact rest: only pairs of nodes in different components remain; they are filtered by size, counted by the shingles that
    rank early enough in both sets (a pair of like size needs a shorter prefix than one set by itself does), and verified. Prefix shingles that no other
    component has bound a node's overlap, and drop pairs that can't reach it before they are made; so do the parities of
@@ -33,6 +35,8 @@ WORDS, PERCENT, MOST_MATCHES = 5, 75, 4
 PAIR_MATCHES = 2
 #: Counters of the frequency sketch (4 bytes each) and bits of the candidate filter: fixed sizes, whatever the corpus.
 COUNTERS, FILTER_BITS, SLICES = 1 << 20, 1 << 25, 64
+#: Pivots of a shingle in the second star round.
+PIVOTS = 4
 #: Longs of a set's parity: bit k tells whether an odd number of its shingles hash to k.
 PARITY_LONGS = 8
 #: Estimated documents of a shingle from which it is salted, and in one salt.
@@ -65,6 +69,11 @@ def parities(sets: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * PARITY_LONGS, pa.int32()), pa.array(np.packbits(bits, axis=1).reshape(-1).view(np.int64)))
 
 
+def differing(x: str, y: str):
+    """Bits in which two columns of parities differ."""
+    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARITY_LONGS)), F.lit(0))
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
@@ -310,6 +319,17 @@ def linked_components(docs: DataFrame, text_col: str, rows: DataFrame, sketch: S
     rest = rest.withColumn("most", (F.col("size") - gone).cast("int")).filter(100 * F.col("most") >= percent * F.col("size"))
     parity = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
     rest = written(rest.join(parity, "node"), "rest")
+    pivots = F.array(*[F.max(F.struct(F.xxhash64("node", "shingle", F.lit(k)).alias("draw"), "node", "size", "component", "parity")).over(by) for k in range(PIVOTS)])
+    spun = rest.withColumn("pivots", pivots).withColumn("pivot", F.explode("pivots"))
+    least = F.ceil((F.col("size") + F.col("pivot.size")) * percent / (100 + percent))
+    spun = spun.filter((F.col("component") != F.col("pivot.component")) & (differing("parity", "pivot.parity") <= F.col("size") + F.col("pivot.size") - 2 * least))
+    spun = spun.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+    spun = pinned(spun)
+    links = pinned(links.unionByName(verified(docs, text_col, spun, words, percent)))
+    found = pinned(components(links))
+    pairs = pairs.unionByName(spun)
+    rest = rest.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rest = written(rest, "rest")
     names = ("node", "size", "m", "component", "most", "rank", "parity")
     x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
     # a link shares least shingles, so k of them rank below size - least + k in both sets, for each k that both prefixes have room for
@@ -322,8 +342,7 @@ def linked_components(docs: DataFrame, text_col: str, rows: DataFrame, sketch: S
     )
     for k in "xy":
         near &= F.col(f"rank_{k}") < F.col(f"size_{k}") - least + needed
-    apart = sum((F.bit_count(F.col("parity_x")[k].bitwiseXOR(F.col("parity_y")[k])) for k in range(PARITY_LONGS)), F.lit(0))
-    near &= apart <= F.col("size_x") + F.col("size_y") - 2 * least
+    near &= differing("parity_x", "parity_y") <= F.col("size_x") + F.col("size_y") - 2 * least
     counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     counted = counted.agg(F.count("*").alias("shared"), F.first(needed).alias("needed"))
     more = counted.filter("shared >= needed").select("a", "b").join(pairs, ["a", "b"], "left_anti")
