@@ -12,10 +12,10 @@
    A second round, among nodes of different components, takes some pivots of each shingle by hash: edited copies that have lost their
    central text meet through many different pivots. Its pairs are linear in the postings too.
 5. Exact rest: only pairs of nodes in different components remain; they are filtered by size, counted by the shingles that
-   rank early enough in both sets (a pair of like size needs a shorter prefix than one set by itself does), and verified. Prefix shingles that no other
-   component has bound a node's overlap, and drop pairs that can't reach it before they are made; so do the parities of
-   the sets, whose differing bits are no more than the shingles that only one of the two has. Nothing is capped: a pair is left out
-   only if its components are the same or the counts prove it dissimilar.
+   rank early enough in both sets (a pair of like size needs a shorter prefix than one set by itself does), and verified. The parities
+   of the sets, whose differing bits are no more than the shingles that only one of the two has, drop pairs that can't reach the overlap
+   before they are made. A prefix shingle that no other component's prefix has bounds nothing: a partner may hold it past its own
+   prefix. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
 """
 
 from __future__ import annotations
@@ -74,6 +74,16 @@ def differing(x: str, y: str):
     return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARITY_LONGS)), F.lit(0))
 
 
+def overlap_and_matches(x, y, percent: int):
+    """The shingles that a link of two nodes shares at least, and how many of them are asked for; x and y give the nodes' columns.
+
+    A link shares least shingles, so k of them rank below size - least + k in both sets, for each k that both prefixes have room for.
+    """
+    least = F.ceil((x("size") + y("size")) * percent / (100 + percent))
+    room = least - F.greatest(*[F.ceil(k("size") * percent / 100) - k("m") for k in (x, y)])
+    return least, F.least(F.lit(PAIR_MATCHES), F.greatest(F.least(x("m"), y("m")), room))
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
@@ -314,15 +324,16 @@ def linked_components(docs: DataFrame, text_col: str, rows: DataFrame, sketch: S
     rest = live.drop("pivot", "salt").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = rest.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).filter("low <> high")
     rest = rest.drop("low", "high").dropDuplicates(["shingle", "node"])
-    # prefix shingles that aren't here are shared with no other component, so they bound what a node can share with one
-    gone = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("m") - F.count("*").over(Window.partitionBy("node"))
-    rest = rest.withColumn("most", (F.col("size") - gone).cast("int")).filter(100 * F.col("most") >= percent * F.col("size"))
     parity = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
     rest = written(rest.join(parity, "node"), "rest")
-    pivots = F.array(*[F.max(F.struct(F.xxhash64("node", "shingle", F.lit(k)).alias("draw"), "node", "size", "component", "parity")).over(by) for k in range(PIVOTS)])
+    # as in the exact rest, which takes what these pairs leave: k of a link's shingles rank below size - least + k in both sets
+    names = ("node", "size", "m", "component", "rank", "parity")
+    pivots = F.array(*[F.max(F.struct(F.xxhash64("node", "shingle", F.lit(k)).alias("draw"), *names)).over(by) for k in range(PIVOTS)])
     spun = rest.withColumn("pivots", pivots).withColumn("pivot", F.explode("pivots"))
-    least = F.ceil((F.col("size") + F.col("pivot.size")) * percent / (100 + percent))
-    spun = spun.filter((F.col("component") != F.col("pivot.component")) & (differing("parity", "pivot.parity") <= F.col("size") + F.col("pivot.size") - 2 * least))
+    least, needed = overlap_and_matches(F.col, lambda c: F.col(f"pivot.{c}"), percent)
+    spun = spun.filter((F.col("component") != F.col("pivot.component")) & (100 * F.least("size", "pivot.size") >= percent * F.greatest("size", "pivot.size")))
+    spun = spun.filter((F.col("rank") < F.col("size") - least + needed) & (F.col("pivot.rank") < F.col("pivot.size") - least + needed))
+    spun = spun.filter(differing("parity", "pivot.parity") <= F.col("size") + F.col("pivot.size") - 2 * least)
     spun = spun.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
     spun = pinned(spun)
     links = pinned(links.unionByName(verified(docs, text_col, spun, words, percent)))
@@ -330,16 +341,9 @@ def linked_components(docs: DataFrame, text_col: str, rows: DataFrame, sketch: S
     pairs = pairs.unionByName(spun)
     rest = rest.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = written(rest, "rest")
-    names = ("node", "size", "m", "component", "most", "rank", "parity")
     x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
-    # a link shares least shingles, so k of them rank below size - least + k in both sets, for each k that both prefixes have room for
-    least = F.ceil((F.col("size_x") + F.col("size_y")) * percent / (100 + percent))
-    room = least - F.greatest(*[F.ceil(F.col(f"size_{k}") * percent / 100) - F.col(f"m_{k}") for k in "xy"])
-    needed = F.least(F.lit(PAIR_MATCHES), F.greatest(F.least("m_x", "m_y"), room))
-    near = F.expr(
-        f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y) "
-        f"and {100 + percent} * least(most_x, most_y) >= {percent} * (size_x + size_y)"
-    )
+    least, needed = overlap_and_matches(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"), percent)
+    near = F.expr(f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
     for k in "xy":
         near &= F.col(f"rank_{k}") < F.col(f"size_{k}") - least + needed
     near &= differing("parity_x", "parity_y") <= F.col("size_x") + F.col("size_y") - 2 * least

@@ -167,6 +167,20 @@ def test_jaccard(spark, docs):
     assert jaccard_join.jaccard_classes(docs.limit(0)).count() == 0
 
 
+def test_jaccard_hot_copies_with_appended_words(spark):
+    texts, copies = [], []
+    for k, extra in enumerate((21, 22, 23, 24, 25, 26)):  # 75 shingles and as many more: Jaccard 0.78 to 0.74
+        y = " ".join(f"base{k}x{j}" for j in range(79))
+        texts += [(2 * k, y), (2 * k + 1, f"{y} " + " ".join(f"new{k}x{j}" for j in range(extra)))]
+        copies += [(10_000 * (k + 1) + j, y) for j in range(1000)]
+    distinct = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {i: c for (i, _), c in brute_classes(distinct.withColumn("row", F.col("doc_id"))).items()}
+    assert len(set(map(tuple, want.values()))) == 7  # all but the last link
+    got = jaccard_join.jaccard_classes(spark.createDataFrame(texts + copies, "doc_id long, text string").repartition(4)).collect()
+    assert {r["id"]: {r["component_id"]} for r in got if r["id"] < 10_000} == want
+    assert all(r["component_id"] == 2 * (r["id"] // 10_000 - 1) for r in got if r["id"] >= 10_000)
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 600, n).astype(np.uint64)) for n in (1, 5, 40, 300, 2000)] + [np.zeros(0, np.uint64)]
