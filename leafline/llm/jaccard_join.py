@@ -1,87 +1,126 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and the classes that its links make.
 
-1. Equal sets are one node, named by a 62-bit fingerprint of the set; copies are never paired.
+1. Equal sets are one node, named by a 62-bit fingerprint of the set that a second one checks; copies are never paired.
 2. A sketch of shingle frequencies (a fixed number of counters, all documents) gives a global order, rare shingles first. Any fixed
    order is exact; this one keeps the shingles of passages that many documents share out of the prefixes.
 3. Each node takes the prefix that must hold m shingles of any partner, n - ceil(0.75 n) + m, where m from 1 to MOST_MATCHES is the
    one of least estimated cost: postings read, and candidates (postings / m) to verify. Two nodes share at least the smaller m of
    both prefixes, or they can't link.
 4. Star round: each shared prefix shingle links its nodes to the most central of them (the one whose shingles are the most frequent,
-   as a text's are whose edited copies abound); these pairs, linear in the postings, are verified and make most components. Frequent
-   shingles are salted and their salts' central nodes meet once more.
+   as a text's are whose edited copies abound); these pairs, linear in the postings, make most components. Frequent shingles are
+   salted and their salts' central nodes meet once more.
    A second round, among nodes of different components, takes some pivots of each shingle by hash: edited copies that have lost their
    central text meet through many different pivots. Its pairs are linear in the postings too.
-5. Exact rest: only pairs of nodes in different components remain; they are filtered by size, counted by the shingles that
-   rank early enough in both sets (a pair of like size needs a shorter prefix than one set by itself does), and verified. The parities
-   of the sets, whose differing bits are no more than the shingles that only one of the two has, drop pairs that can't reach the overlap
-   before they are made. A prefix shingle that no other component's prefix has bounds nothing: a partner may hold it past its own
-   prefix. Nothing is capped: a pair is left out only if its components are the same or the counts prove it dissimilar.
+5. Exact rest: only pairs of nodes in different components remain. A pair must have sizes that allow a link and share, among the
+   shingles that rank early enough in both sets, as many as the smaller m of both prefixes.
+Every pair is verified on the whole sets, unless the parities of the sets tell it apart before: bits of the parity differ only where
+the sets do, and a parity has at least two bits for each shingle. Nothing is capped: a pair is left out only if its components are
+the same or a bound proves it dissimilar.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import col, pinned, table, written
+from .common import Sent, col, pinned, removed, summed, table, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
 WORDS, PERCENT, MOST_MATCHES = 5, 75, 4
-#: Matches asked of a pair in the exact rest: more make more rows to count, fewer more pairs to verify.
-PAIR_MATCHES = 2
 #: Counters of the frequency sketch (4 bytes each) and bits of the candidate filter: fixed sizes, whatever the corpus.
 COUNTERS, FILTER_BITS, SLICES = 1 << 20, 1 << 25, 64
 #: Pivots of a shingle in the second star round.
 PIVOTS = 4
-#: Longs of a set's parity: bit k tells whether an odd number of its shingles hash to k.
+#: Longs of the parity that rows of the shingle join carry, and the least of a set's own: bit k tells whether an odd number of its
+#: shingles hash to k.
 PARITY_LONGS = 8
 #: Estimated documents of a shingle from which it is salted, and in one salt.
 HOT_DF, SALT_DF = 2000, 1000
 #: Cost of verifying a candidate, in postings.
 VERIFY_COST = 8.0
+#: Nodes that a task remembers, so as to leave out their copies.
+KEPT_NODES = 1_000_000
 
 
-def fingerprints(sets: list[np.ndarray]) -> list[int | None]:
-    """62-bit names of sets, equal for equal sets; None for empty ones."""
+def fingerprints(sets: list[np.ndarray], collided: frozenset = frozenset()) -> tuple[list[int | None], list[int | None]]:
+    """62-bit names of sets, equal for equal sets, and second fingerprints; None for empty ones. Where different sets have one name
+    (collided), the second fingerprint is the name."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     full = np.flatnonzero(sizes)
-    out: list[int | None] = [None] * len(sets)
+    names: list[int | None] = [None] * len(sets)
+    checks = list(names)
     if len(full):
         first = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-        with np.errstate(over="ignore"):
-            total = np.add.reduceat(mixed(np.concatenate([sets[k] for k in full])), first)
-            names = mixed(total ^ mixed(sizes[full].astype(np.uint64))).astype(np.int64) & ~np.int64(3)
-        for k, name in zip(full.tolist(), names.tolist()):
-            out[k] = name
+        h = mixed(np.concatenate([sets[k] for k in full]))
+        for out, salt in ((names, np.uint64(0)), (checks, np.uint64(0xA5A5A5A55A5A5A5A))):
+            with np.errstate(over="ignore"):
+                total = np.add.reduceat(mixed(h ^ salt) if salt else h, first)
+                got = mixed(total ^ mixed(sizes[full].astype(np.uint64))).astype(np.int64) & ~np.int64(3)
+            for k, name in zip(full.tolist(), got.tolist()):
+                out[k] = name
+        if collided:
+            names = [c if n in collided else n for n, c in zip(names, checks)]
+    return names, checks
+
+
+def parity_longs(n: int) -> int:
+    """Longs of the parity of a set of n shingles: two bits for each, rounded up to a power of two."""
+    return max(PARITY_LONGS, 1 << max(0, (2 * n - 1).bit_length() - 6))
+
+
+def parities(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The parity of each set, as longs. Two sets' differing bits are at most their symmetric difference, and so bound their overlap."""
+    out = []
+    for s in sets:
+        width = 64 * parity_longs(len(s))
+        bits = np.bincount((mixed(s) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        out.append(np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64))
     return out
 
 
-def parities(sets: list[np.ndarray]) -> pa.ListArray:
-    """PARITY_LONGS longs for each set. Two sets' differing bits are at most their symmetric difference, and so bound their overlap."""
-    width, k = 64 * PARITY_LONGS, len(sets)
-    bits = np.zeros((k, width), np.uint8)
-    for row, s in zip(bits, sets):
-        row[:] = np.bincount((mixed(s) & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * PARITY_LONGS, pa.int32()), pa.array(np.packbits(bits, axis=1).reshape(-1).view(np.int64)))
+def xor(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
 
 
-def differing(x: str, y: str):
-    """Bits in which two columns of parities differ."""
+def halved(x: Column) -> Column:
+    """A parity at half its width."""
+    h = (F.size(x) / 2).cast("int")
+    return xor(F.slice(x, F.lit(1), h), F.slice(x, h + 1, h))
+
+
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two parities differ, at the width of the shorter; sizes of a link differ by less than a factor of two."""
+    a, b = F.when(F.size(x) > F.size(y), halved(x)).otherwise(x), F.when(F.size(y) > F.size(x), halved(y)).otherwise(y)
+    return F.aggregate(xor(a, b), F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
+def differing_rows(x: str, y: str):
+    """Bits in which two columns of parities of PARITY_LONGS longs differ."""
     return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(PARITY_LONGS)), F.lit(0))
 
 
+def folded(x: Column) -> Column:
+    """A parity at the width of PARITY_LONGS longs."""
+    one = lambda k: F.aggregate(F.filter(x, lambda _, i: i % PARITY_LONGS == k), F.lit(0).cast("long"), lambda p, q: p.bitwiseXOR(q))
+    return F.when(F.size(x) == PARITY_LONGS, x).otherwise(F.array(*[one(k) for k in range(PARITY_LONGS)]))
+
+
+def sizes_allow(x: str, y: str, percent: int) -> Column:
+    return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
+
 def overlap_and_matches(x, y, percent: int):
-    """The shingles that a link of two nodes shares at least, and how many of them are asked for; x and y give the nodes' columns.
+    """The shingles that a link of two nodes shares at least, and the matches asked of it; x and y give the nodes' columns.
 
-    A link shares least shingles, so k of them rank below size - least + k in both sets, for each k that both prefixes have room for.
+    A link shares least shingles, so k of them rank below size - least + k in both sets, for each k that both prefixes have room for:
+    the smaller m of both is one.
     """
-    least = F.ceil((x("size") + y("size")) * percent / (100 + percent))
-    room = least - F.greatest(*[F.ceil(k("size") * percent / 100) - k("m") for k in (x, y)])
-    return least, F.least(F.lit(PAIR_MATCHES), F.greatest(F.least(x("m"), y("m")), room))
+    return F.ceil((x("size") + y("size")) * percent / (100 + percent)), F.least(x("m"), y("m"))
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -118,86 +157,50 @@ class Sketch:
         return s[take], level[take], m, int(1000 * level.mean())
 
 
-def merged_counts(df: DataFrame, make, length: int, dtype) -> np.ndarray:
-    """Sum (or union, for bool) of the arrays that make gives for each partition, in a tree of slices; length is fixed and small."""
-    step = length // SLICES
-    schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("payload", T.BinaryType())])
-
-    def local(batches):
-        yield from rows(make(batches))
-
-    def rows(whole):
-        if whole is not None:
-            for k in range(SLICES):
-                part = whole[k * step : (k + 1) * step]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "payload"])
-
-    def add(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(payload, dtype)
-                held[k] = part.copy() if k not in held else (held[k] | part if dtype is np.bool_ else held[k] + part)
-        for k, part in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "payload"])
-
-    parts = df.mapInArrow(local, schema).repartition(SLICES, "slice").mapInArrow(add, schema)
-    whole = np.zeros(length, dtype)
-    for r in parts.collect():
-        whole[r.slice * step : (r.slice + 1) * step] = np.frombuffer(r.payload, dtype)
-    return whole
-
-
-def nodes_and_sketch(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, Sketch]:
-    """One pass: every document's node, set size and parity, and the sketch. Kept as a table, as both readings need it."""
-    id_type = docs.schema[docs.columns.index(id_col)].dataType
+def rows_and_sketch(docs: DataFrame, words: int) -> tuple[DataFrame, Sketch]:
+    """One pass over docs (id, text_hash, text): every document's node, set size and parity, and the sketch. Kept as a table."""
+    id_type = docs.schema["id"].dataType
     schema = T.StructType([
-        T.StructField("id", id_type), T.StructField("n", T.IntegerType()), T.StructField("node", T.LongType()),
+        T.StructField("id", id_type), T.StructField("text_hash", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("second", T.LongType()),
         T.StructField("parity", T.ArrayType(T.LongType())), T.StructField("slice", T.IntegerType()), T.StructField("payload", T.BinaryType()),
     ])
+    arrow = [to_arrow_type(f.dataType) for f in schema]
     step = COUNTERS // SLICES
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
         for b in batches:
-            sets = shingle_sets(b.column(1).to_pylist(), words)
-            n, node, k = [*map(len, sets)], fingerprints(sets), len(sets)
+            sets = shingle_sets(b.column(2).to_pylist(), words)
+            k = len(sets)
             if k:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(44)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(node, pa.int64()), parities(sets), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema.names)
-        id_arrow = None
+            made = [b.column(0), b.column(1), [*map(len, sets)], *fingerprints(sets), parities(sets), [None] * k, [None] * k]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) if isinstance(x, list) else x.cast(t) for x, t in zip(made, arrow)], schema.names)
         for k in range(SLICES):
             part = counts[k * step : (k + 1) * step]
             if part.any():
-                id_arrow = id_arrow or to_arrow(id_type)
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, id_arrow), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], schema.names)
-
-    both = written(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).mapInArrow(run, schema), "shingles")
+                made = [pa.nulls(1, t) for t in arrow[:-2]]
+                yield pa.RecordBatch.from_arrays([*made, pa.array([k], arrow[-2]), pa.array([part.tobytes()], arrow[-1])], schema.names)
 
-    def add(batches):
-        whole = np.zeros(COUNTERS, np.uint32)
-        for b in batches:
-            for k, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                whole[k * step : (k + 1) * step] += np.frombuffer(payload, np.uint32)
-        yield whole
+    both = written(docs.select("id", "text_hash", "text").mapInArrow(run, schema), "shingles")
+    counts = np.zeros(COUNTERS, np.uint32)
+    for k, part in summed(both.filter("payload is not null"), SLICES, np.uint32).items():
+        counts[k * step : (k + 1) * step] = part
+    return both.filter("payload is null").drop("slice", "payload"), Sketch(counts)
 
-    def make(batches):
-        return next(add(batches))
 
-    counts = merged_counts(both.filter("payload is not null").select("slice", "payload"), make, COUNTERS, np.uint32)
-    return both.filter("payload is null").select("id", "n", "node", "parity"), Sketch(counts)
+def nodes_of(rows: DataFrame) -> tuple[DataFrame, DataFrame, frozenset]:
+    """rows (id, text_hash, n, node) and nodes (node, id: the smallest of its documents, size, parity), and names that different sets had."""
+    by = rows.filter("n > 0").groupBy("node").agg(F.min("second").alias("low"), F.max("second").alias("high"))
+    collided = frozenset(r.node for r in by.filter("low <> high").select("node").collect())  # by 62 bits about one in 10^9 documents
+    rows = rows.withColumn("node", F.when(F.col("node").isin(*collided), F.col("second")).otherwise(F.col("node"))) if collided else rows
+    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("size"), F.first("parity").alias("parity"))
+    return rows.select("id", "text_hash", "n", "node"), written(nodes, "nodes"), collided
 
 
-def to_arrow(kind):
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def postings(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent: int) -> DataFrame:
+def postings(docs: DataFrame, sketch: Sketch, collided: frozenset, words: int, percent: int) -> DataFrame:
     """shingle, rank, salt, node, size, m, central: the prefix of every node, rank counting from 0 in the global order. A copy is left out where its task has seen the node."""
-    sent = docs.sparkSession.sparkContext.broadcast(sketch)
+    sent = Sent(docs.sparkSession, sketch)
     schema = "shingle long, rank int, salt int, node long, size int, m byte, central int"
     names = ["shingle", "rank", "salt", "node", "size", "m", "central"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int8(), pa.int32()]
@@ -207,10 +210,10 @@ def postings(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent
         for b in batches:
             parts: list[list[np.ndarray]] = [[] for _ in names]
             sets = shingle_sets(b.column(0).to_pylist(), words)
-            for s, node in zip(sets, fingerprints(sets)):
+            for s, node in zip(sets, fingerprints(sets, collided)[0]):
                 if node is None or node in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < KEPT_NODES:
                     seen.add(node)
                 take, level, m, central = sent.value.prefix(s, percent)
                 salts = np.where(level >= int(np.log2(HOT_DF)), np.exp2(level).astype(np.int64) // SALT_DF + 1, 0)
@@ -220,74 +223,77 @@ def postings(docs: DataFrame, text_col: str, sketch: Sketch, words: int, percent
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)).cast(t) for x, t in zip(parts, types)], names)
 
-    return docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select("text").mapInArrow(run, schema)
+
+
+def place_in_filter(h: np.ndarray) -> np.ndarray:
+    return (mixed(h.astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
-def candidate_sets(docs: DataFrame, text_col: str, pairs: DataFrame, words: int) -> DataFrame:
-    """node and set (bytes of sorted hashes) for the nodes of pairs, and few others: texts are read again rather than kept."""
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, packed, of which those are set that the hashes (a column h of longs) name."""
+    step = FILTER_BITS // SLICES
 
-    def mark(batches):
-        bits = None
+    def places(batches):
         for b in batches:
-            at = np.concatenate([b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]).astype(np.uint64)
-            bits = np.zeros(FILTER_BITS, bool) if bits is None else bits
-            bits[(mixed(at) & np.uint64(FILTER_BITS - 1)).astype(np.int64)] = True
-        return None if bits is None else np.packbits(bits)
+            at = np.unique(place_in_filter(b.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array(at // step, pa.int32()), pa.array(at % step, pa.int32())], ["slice", "at"])
 
-    packed = merged_bits(pairs.select("a", "b"), mark)
-    sent = docs.sparkSession.sparkContext.broadcast(packed)
+    def union(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            slices_, at = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for k in np.unique(slices_).tolist():
+                held.setdefault(k, np.zeros(step, bool))[at[slices_ == k]] = True
+        for k, bits in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["slice", "payload"])
+
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in hashes.mapInArrow(places, "slice int, at int").repartition(SLICES, "slice").mapInArrow(union, "slice int, payload binary").collect():
+        whole[r.slice * step // 8 : (r.slice + 1) * step // 8] = np.frombuffer(r.payload, np.uint8)
+    return whole
+
+
+def candidate_sets(docs: DataFrame, pairs: DataFrame, collided: frozenset, words: int) -> DataFrame:
+    """node and set (bytes of sorted hashes) for the nodes of pairs, and few others: the texts of their smallest ids are read again."""
+    ids = [F.xxhash64(f"id_{k}") for k in "ab"]
+    packed = hash_filter(pairs.select(F.explode(F.array("a", "b", *ids)).alias("h")))
+    sent = Sent(docs.sparkSession, packed)
 
     def run(batches):
         wanted = np.unpackbits(sent.value).view(bool)
         seen: set[int] = set()
         for b in batches:
+            b = b.filter(pa.array(wanted[place_in_filter(b.column(0).to_numpy(zero_copy_only=False))]))
             node, sets = [], []
-            every = shingle_sets(b.column(0).to_pylist(), words)
-            names = fingerprints(every)
-            at = (mixed(np.array([k or 0 for k in names], np.int64).astype(np.uint64)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-            for s, k, hit in zip(every, names, wanted[at].tolist()):
+            every = shingle_sets(b.column(1).to_pylist(), words)
+            names = fingerprints(every, collided)[0]
+            hits = wanted[place_in_filter(np.array([k or 0 for k in names], np.int64))]
+            for s, k, hit in zip(every, names, hits.tolist()):
                 if k is None or not hit or k in seen:
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < KEPT_NODES:
                     seen.add(k)
                 node.append(k)
                 sets.append(s.tobytes())
             if node:
                 yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "node long, set binary")
-
-
-def merged_bits(df: DataFrame, make) -> np.ndarray:
-    step = FILTER_BITS // 8 // SLICES
-    schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("payload", T.BinaryType())])
-
-    def local(batches):
-        whole = make(batches)
-        if whole is not None:
-            for k in range(SLICES):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([whole[k * step : (k + 1) * step].tobytes()], pa.binary())], ["slice", "payload"])
+    return docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(run, "node long, set binary")
 
-    def union(batches):
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                part = np.frombuffer(payload, np.uint8)
-                held[k] = held[k] | part if k in held else part
-        for k, part in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "payload"])
-
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in df.coalesce(16).mapInArrow(local, schema).repartition(SLICES, "slice").mapInArrow(union, schema).collect():
-        whole[r.slice * step : (r.slice + 1) * step] = np.frombuffer(r.payload, np.uint8)
-    return whole
 
-
-def verified(docs: DataFrame, text_col: str, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    sets = written(candidate_sets(docs, text_col, pairs, words), "sets")
+def verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, collided: frozenset, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. Parities sift them, so that few sets are dealt in vain."""
+    for k in "ab":
+        pairs = pairs.join(nodes.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("id", "size", "parity")]), k)
+    least, _ = overlap_and_matches(lambda c: F.col(f"{c}_a") if c == "size" else F.lit(0), lambda c: F.col(f"{c}_b") if c == "size" else F.lit(0), percent)
+    near = pairs.filter(sizes_allow("size_a", "size_b", percent)).filter(differing(F.col("parity_a"), F.col("parity_b")) <= F.col("size_a") + F.col("size_b") - 2 * least)
+    near = pinned(near.select("a", "b", "id_a", "id_b"))
+    if near.isEmpty():
+        return near.select("a", "b")
+    sets = written(candidate_sets(docs, near, collided, words), "sets")
     one = sets.groupBy("node").agg(F.first("set").alias("set"))
-    joined = pairs.join(one.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+    joined = near.join(one.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(one.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
 
     def run(batches):
         for batch in batches:
@@ -301,12 +307,14 @@ def verified(docs: DataFrame, text_col: str, pairs: DataFrame, words: int, perce
                     b.append(j)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    links = pinned(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long"))
+    removed(sets)
+    return links
 
 
-def linked_components(docs: DataFrame, text_col: str, rows: DataFrame, sketch: Sketch, words: int, percent: int) -> DataFrame:
-    """node and component for every node that is linked with another; rows has their parities."""
-    posts = postings(docs, text_col, sketch, words, percent)
+def linked_components(docs: DataFrame, nodes: DataFrame, sketch: Sketch, collided: frozenset, words: int, percent: int) -> DataFrame:
+    """node and component for every node that is linked with another."""
+    posts = postings(docs, sketch, collided, words, percent)
     by = Window.partitionBy("shingle", "salt")
     rank = F.struct("central", "node")
     live = posts.withColumn("pivot", F.max(rank).over(by)).withColumn("last", F.min(rank).over(by)).filter("pivot <> last or salt > 0")
@@ -317,65 +325,87 @@ def linked_components(docs: DataFrame, text_col: str, rows: DataFrame, sketch: S
     over = live.filter("salt > 0").select("shingle", "pivot").distinct()
     over = over.withColumn("a", F.max("pivot").over(Window.partitionBy("shingle"))).filter("a <> pivot").select(F.col("a.node").alias("a"), F.col("pivot.node").alias("b"))
     pairs = pinned(stars.unionByName(over).distinct())
-    links = pinned(verified(docs, text_col, pairs, words, percent))
-    found = pinned(components(links))
+    links = verified(docs, pairs, nodes, collided, words, percent)
+    found = components(links)
 
     by = Window.partitionBy("shingle")
     rest = live.drop("pivot", "salt").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rest = rest.withColumn("low", F.min("component").over(by)).withColumn("high", F.max("component").over(by)).filter("low <> high")
     rest = rest.drop("low", "high").dropDuplicates(["shingle", "node"])
-    parity = rows.filter("n > 0").groupBy("node").agg(F.first("parity").alias("parity"))
-    rest = written(rest.join(parity, "node"), "rest")
+    rest = written(rest.join(nodes.select("node", folded(F.col("parity")).alias("parity")), "node"), "rest")
+    removed(live)
     # as in the exact rest, which takes what these pairs leave: k of a link's shingles rank below size - least + k in both sets
     names = ("node", "size", "m", "component", "rank", "parity")
     pivots = F.array(*[F.max(F.struct(F.xxhash64("node", "shingle", F.lit(k)).alias("draw"), *names)).over(by) for k in range(PIVOTS)])
     spun = rest.withColumn("pivots", pivots).withColumn("pivot", F.explode("pivots"))
     least, needed = overlap_and_matches(F.col, lambda c: F.col(f"pivot.{c}"), percent)
-    spun = spun.filter((F.col("component") != F.col("pivot.component")) & (100 * F.least("size", "pivot.size") >= percent * F.greatest("size", "pivot.size")))
+    spun = spun.filter((F.col("component") != F.col("pivot.component")) & sizes_allow("size", "pivot.size", percent))
     spun = spun.filter((F.col("rank") < F.col("size") - least + needed) & (F.col("pivot.rank") < F.col("pivot.size") - least + needed))
-    spun = spun.filter(differing("parity", "pivot.parity") <= F.col("size") + F.col("pivot.size") - 2 * least)
-    spun = spun.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-    spun = pinned(spun)
-    links = pinned(links.unionByName(verified(docs, text_col, spun, words, percent)))
-    found = pinned(components(links))
+    spun = spun.filter(differing_rows("parity", "pivot.parity") <= F.col("size") + F.col("pivot.size") - 2 * least)
+    spun = pinned(spun.select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct())
+    links = pinned(links.unionByName(verified(docs, spun, nodes, collided, words, percent)))
+    found = components(links)
     pairs = pairs.unionByName(spun)
-    rest = rest.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    rest = written(rest, "rest")
-    x, y = (rest.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
+    again = written(rest.drop("component").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "rest")
+    removed(rest)
+    x, y = (again.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
     least, needed = overlap_and_matches(lambda c: F.col(f"{c}_x"), lambda c: F.col(f"{c}_y"), percent)
-    near = F.expr(f"node_x < node_y and component_x <> component_y and 100 * least(size_x, size_y) >= {percent} * greatest(size_x, size_y)")
+    near = F.expr("node_x < node_y and component_x <> component_y") & sizes_allow("size_x", "size_y", percent)
     for k in "xy":
         near &= F.col(f"rank_{k}") < F.col(f"size_{k}") - least + needed
-    near &= differing("parity_x", "parity_y") <= F.col("size_x") + F.col("size_y") - 2 * least
+    near &= differing_rows("parity_x", "parity_y") <= F.col("size_x") + F.col("size_y") - 2 * least
     counted = x.join(y, "shingle").filter(near).groupBy(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
     counted = counted.agg(F.count("*").alias("shared"), F.first(needed).alias("needed"))
-    more = counted.filter("shared >= needed").select("a", "b").join(pairs, ["a", "b"], "left_anti")
-    more = pinned(more)
+    more = pinned(counted.filter("shared >= needed").select("a", "b").join(pairs, ["a", "b"], "left_anti"))
+    removed(again)
     if more.isEmpty():
         return found
-    links = links.unionByName(verified(docs, text_col, more, words, percent))
-    return pinned(components(links))
+    return components(links.unionByName(verified(docs, more, nodes, collided, words, percent)))
 
 
 def jaccard_classes(docs: DataFrame, *, id_col="doc_id", text_col="text", words=WORDS, percent=PERCENT) -> DataFrame:
-    """id, n_shingles and component_id (the smallest id reachable by links), one row for each row of docs.
+    """id, text_hash (64 bits, null for null), n_shingles, component_id (the smallest id reachable by links) and class (a long; null for
+    an empty set), one row for each row of docs.
 
     Texts without words, null included, have an empty set and are linked with nothing, so that their component is their own id.
-    Equal texts, in whatever rows, are one class; a null id is no candidate for the smallest. An empty table gives no rows.
+    Equal texts, in whatever rows, are one class; a null id is no candidate for the smallest, and a class that only has null ids has
+    a null component_id. Rows that share an id are documents of their own. An empty table gives no rows.
     """
-    slim = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
-    rows, sketch = nodes_and_sketch(slim, "id", "text", words)
-    found = linked_components(slim, "text", rows, sketch, words, percent)
-    nodes = rows.filter("n > 0").groupBy("node").agg(F.min("id").alias("id")).join(found, "node", "left")
-    nodes = nodes.select("node", "id", F.coalesce("component", "node").alias("component"))
+    text = col(text_col).cast("string")
+    slim = docs.select(col(id_col).alias("id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("text_hash"), text.alias("text"))
+    rows, sketch = rows_and_sketch(slim, words)
+    rows, nodes, collided = nodes_of(rows)
+    found = linked_components(slim, nodes, sketch, collided, words, percent)
+    nodes = nodes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = nodes.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = nodes.join(least, "component").select("node", "component_id")
+    named = nodes.join(least, "component").select("node", "component_id", F.col("component").alias("class"))
     out = rows.join(named, "node", "left")
-    return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+    return out.select("id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"), "class")
+
+
+def one_of_each(docs: DataFrame, *, id_col="doc_id", text_col="text", **more) -> DataFrame:
+    """docs with one row of each class: of the smallest id, null ids last. Rows without words are in no class and stay.
+
+    Of rows with that id in one class the one with the smallest text hash stays, and of equal texts the smallest row, so that reruns
+    agree; columns must be orderable for that. An empty table gives no rows.
+    """
+    key = F.struct("id", "text_hash")
+    found = pinned(jaccard_classes(docs, id_col=id_col, text_col=text_col, **more).groupBy("class", "id", "text_hash").agg(F.count("*").alias("rows")))
+    first = found.filter("class is not null").groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "text_hash", "rows")).alias("f"))
+    first = pinned(first.select("f.*"))
+    alone = first.filter("rows = 1").select(key.alias("key")).unionByName(found.filter("class is null").select(key.alias("key")))
+    text = col(text_col).cast("string")
+    keyed = docs.select(F.struct(*[col(n) for n in docs.columns]).alias("row"), F.struct(col(id_col).alias("id"), F.when(text.isNotNull(), F.xxhash64(text)).alias("text_hash")).alias("key"))
+    kept = keyed.join(alone, "key", "left_semi").select("row")
+    repeated = first.filter("rows > 1").select(key.alias("key"))
+    if not repeated.isEmpty():
+        kept = kept.unionByName(keyed.join(repeated, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row")).select("row"))
+    return kept.select(*[F.col("row").getField(n).alias(n) for n in docs.columns])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    """Classes of near-duplicates among all documents; nulls, empty texts and repeats as jaccard_classes has them."""
+    return jaccard_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
 ORACLE = r"""
