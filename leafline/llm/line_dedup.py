@@ -1,8 +1,9 @@
 """Line deduplication with levelled sorted runs of line hashes, in DataFrame functions only.
 
-A run is a bucketed, sorted table of line hashes with the document that holds them first; level k has runs of about fanout ** k
-batches. A new batch is merge-anti-joined with every run (both sides bucketed alike, so only the batch is shuffled), adds a run of
-its new hashes at level 0, and a level that has fanout runs is compacted into one run of the next.
+The texts are split once, into a table of line hashes that is parted into batches by id. A run is a bucketed, sorted table of line
+hashes with the document that holds them first; level k has runs of about fanout ** k batches. A new batch is merge-anti-joined with
+every run (both sides bucketed alike, so only the batch is shuffled), adds a run of its new hashes at level 0, and a level that has
+fanout runs is compacted into one run of the next. There are more batches than fanout, so that a whole table compacts, too.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, col, shared_dir, table
+from .common import SPACE_CHARS, ascii_lower, col, removed, shared_dir, shuffles_removed, table, written
 
-LEAST_CHARS, BATCHES, FANOUT = 10, 3, 4
+LEAST_CHARS, BATCHES, FANOUT = 10, 5, 4
+#: Hashes of a run in one bucket, at most about; there are as many buckets as shuffle partitions at least.
+BUCKET_ROWS = 4_000_000
 
 
 def keys_of(lines: Column) -> Column:
@@ -28,14 +31,15 @@ def hashed(key: Column, least: int) -> Column:
 
 
 class LineRuns:
-    """The levels. They are kept as tables of the session's catalog, in the shared warehouse, until drop()."""
+    """The levels. Runs are bucketed tables whose files are in the shared folder, until drop()."""
 
     def __init__(self, spark: SparkSession, name: str = "runs", *, fanout: int = FANOUT, buckets: int | None = None):
         self.spark, self.fanout = spark, fanout
         self.prefix = f"leafline_{name}_{uuid.uuid4().hex}"
-        self.buckets = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.folder = f"{shared_dir(spark).rstrip('/')}/leafline-{name}-{uuid.uuid4().hex}"
+        self.buckets = buckets
         self.levels: list[list[str]] = [[]]
-        self.made = 0
+        self.made = self.compactions = 0
 
     def runs(self) -> list[str]:
         return [r for level in self.levels for r in level]
@@ -43,9 +47,16 @@ class LineRuns:
     def put(self, firsts: DataFrame) -> str:
         name = f"{self.prefix}_{self.made}"
         self.made += 1
-        (firsts.select("h", "g", "first").repartition(self.buckets, "h", "g").write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").format("parquet").saveAsTable(name))
+        if self.buckets is None:
+            self.buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = firsts.select("h", "g", "first").repartition(self.buckets, "h", "g")
+        with shuffles_removed(self.spark):
+            dealt.write.bucketBy(self.buckets, "h", "g").sortBy("h", "g").format("parquet").option("path", self.path(name)).saveAsTable(name)
         return name
 
+    def path(self, name: str) -> str:
+        return f"{self.folder}/leafline-{name}"
+
     def add(self, lines: DataFrame) -> None:
         """lines (h, g, id) of one batch. Ids are larger than those of earlier batches, so the first holder of a hash never changes."""
         firsts = lines.groupBy("h", "g").agg(F.min("id").alias("first"))
@@ -61,30 +72,33 @@ class LineRuns:
         """The runs of level k have no hash in common: their union is one run of the next level."""
         old = self.levels[k]
         merged = self.put(self.union(old))
+        self.compactions += 1
         if len(self.levels) == k + 1:
             self.levels.append([])
         self.levels[k], self.levels[k + 1] = [], [*self.levels[k + 1], merged]
-        for name in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.forget(old)
 
     def union(self, names: list[str]) -> DataFrame:
-        out = self.spark.table(names[0])
-        for name in names[1:]:
-            out = out.unionByName(self.spark.table(name))
-        return out
+        """Read by path: without buckets Spark can split what one very common line makes of a join."""
+        return self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*map(self.path, names))
 
     def first_holders(self) -> DataFrame:
         """h, g, first of every hash so far, each once."""
         return self.union(self.runs())
 
-    def drop(self) -> None:
-        for name in self.runs():
+    def forget(self, names: list[str]) -> None:
+        files = [self.spark.table(n) for n in names]
+        removed(*files)
+        for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    def drop(self) -> None:
+        self.forget(self.runs())
         self.levels = [[]]
 
 
 def batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list:
-    """Ids that part the table into batches of about equal size; fewer where ids repeat or are not numbers."""
+    """Ids that part the table into batches of about equal size; fewer where ids repeat, one where they are not whole numbers."""
     if batches < 2:
         return []
     kind = docs.schema[docs.columns.index(id_col)].dataType.typeName()
@@ -94,16 +108,23 @@ def batch_bounds(docs: DataFrame, id_col: str, batches: int) -> list:
     return sorted(set(cuts))
 
 
-def first_lines(docs: DataFrame, runs: LineRuns, *, id_col="doc_id", text_col="text", least_chars=LEAST_CHARS, batches=BATCHES) -> LineRuns:
-    """Feeds docs to the runs, in batches by id; rows with a null id make no first holders."""
+def line_hashes(docs: DataFrame, *, id_col="doc_id", text_col="text", least_chars=LEAST_CHARS, batches=BATCHES) -> tuple[DataFrame, int]:
+    """A table of id, t (the text's hash, which tells rows of one id apart), h, g, pos of every line with a key that counts, parted
+    by batch (null ids have none), and the number of batches."""
     bounds = batch_bounds(docs, id_col, batches)
-    for low, high in zip([None, *bounds], [*bounds, None]):
-        part = docs.filter(col(id_col).isNotNull())
-        part = part if low is None else part.filter(col(id_col) > low)
-        part = part if high is None else part.filter(col(id_col) <= high)
-        keys = F.transform(keys_of(F.split(col(text_col), "\n")), lambda k: hashed(k, least_chars))
-        lines = part.select(col(id_col).alias("id"), F.explode(F.array_distinct(keys)).alias("k")).filter("k is not null")
-        runs.add(lines.select("id", "k.h", "k.g"))
+    batch = sum(((col(id_col) > b).cast("int") for b in bounds), F.lit(0)) + F.when(col(id_col).isNotNull(), 0)
+    keys = F.transform(keys_of(F.split(col(text_col).cast("string"), "\n")), lambda k: hashed(k, least_chars))
+    lines = docs.select(col(id_col).alias("id"), F.xxhash64(col(text_col).cast("string")).alias("t"), batch.alias("batch"), F.posexplode(keys).alias("pos", "k"))
+    lines = lines.filter("k is not null").select("id", "t", "k.h", "k.g", "pos", "batch")
+    return written(lines, "lines"), len(bounds) + 1
+
+
+def first_lines(lines: DataFrame, runs: LineRuns, batches: int) -> LineRuns:
+    """Feeds lines (h, g, id, batch) to the runs, batch by batch; rows with a null id make no first holders."""
+    if runs.buckets is None:
+        runs.buckets = max(int(runs.spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // BUCKET_ROWS))
+    for k in range(batches):
+        runs.add(lines.filter(F.col("batch") == k).select("id", "h", "g"))
     return runs
 
 
@@ -112,26 +133,27 @@ def dedup_lines(docs: DataFrame, *, id_col="doc_id", text_col="text", least_char
 
     Null and empty texts are one empty line. A line stays in the document with the smallest id that holds its key, repeats there
     included; rows of one id are one document, and rows with a null id come after all others and lose what any of those holds, but
-    nothing to each other. Keys below least_chars code points always stay. White space and ASCII case don't count for keys.
+    nothing to each other. Keys below least_chars code points always stay. White space and ASCII case don't count for keys. An empty
+    table gives no rows. Given runs are added to and stay the caller's, to drop() in the end; their documents' ids must be smaller.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
-    runs = first_lines(docs, runs or LineRuns(spark), id_col=id_col, text_col=text_col, least_chars=least_chars, batches=batches)
-    text = F.coalesce(col(text_col).cast("string"), F.lit(""))
-    held = F.array_distinct(F.transform(keys_of(F.split(text, "\n")), lambda k: hashed(k, least_chars)))
-    lines = docs.select(col(id_col).alias("id"), F.explode(held).alias("k")).filter("k is not null").select("id", "k.h", "k.g").distinct()
-    later = lines.join(runs.first_holders().hint("merge"), ["h", "g"]).filter("id is null or id > first")
-    lost = later.groupBy(F.struct("id").alias("key")).agg(F.collect_set("h").alias("lost"))
-    base = docs.select(F.struct("*").alias("row"), F.struct(col(id_col).alias("id")).alias("key"), text.alias("text"))
+    lines, n = line_hashes(docs, id_col=id_col, text_col=text_col, least_chars=least_chars, batches=batches)
+    made = first_lines(lines, runs or LineRuns(docs.sparkSession), n)
+    later = lines.join(made.first_holders(), ["h", "g"]).filter("id is null or id > first")
+    lost = written(later.groupBy(F.struct("id", "t").alias("key")).agg(F.collect_list("pos").alias("lost")), "lost")
+    removed(lines)
+    if runs is None:
+        made.drop()
+    text = col(text_col).cast("string")
+    base = docs.select(F.struct("*").alias("row"), F.struct(col(id_col).alias("id"), F.xxhash64(text).alias("t")).alias("key"), F.coalesce(text, F.lit("")).alias("text"))
     base = base.join(lost, "key", "left").withColumn("lines", F.split("text", "\n"))
-    key = lambda x: ascii_lower(F.btrim(x, F.lit(SPACE_CHARS)))
-    goes = lambda x: (F.char_length(key(x)) >= least_chars) & F.array_contains("lost", F.xxhash64(key(x)))
-    kept = F.when(F.col("lost").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x: ~goes(x)))
-    out = base.select("row", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
-    return out.select("row", "n_lines", (F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("kept"))
+    at = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "lost")
+    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(at, lambda i: F.get("lines", i)), "\n"))
+    n_dropped = F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.size("lines") - F.size(at)).cast("long")
+    return base.select("row", F.size("lines").cast("long").alias("n_lines"), n_dropped.alias("n_dropped"), kept.alias("kept"))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier one holds; nulls, empty texts and repeats as dedup_lines has them."""
     found = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
