@@ -145,7 +145,7 @@ def with_text(df: DataFrame, text_col: str, work, fields: list[T.StructField], k
     labels = [f.name for f in fields]
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             out = work(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(out[n], t) for n, t in zip(labels, types))], ["row", *labels])
 
@@ -153,6 +153,13 @@ def with_text(df: DataFrame, text_col: str, work, fields: list[T.StructField], k
     return picked.mapInArrow(run, T.StructType([T.StructField("row", row, False), *fields]))
 
 
+def few_rows(batches, rows: int = 1000):
+    """Arrow batches in pieces, so that a task doesn't hold the texts of a whole batch as Python strings."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
 def slices(texts: list, limit: int = 4 << 20):
     """Index ranges whose texts have about limit characters together; one text is never split."""
     start = size = 0

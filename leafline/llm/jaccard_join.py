@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import Sent, col, pinned, removed, summed, table, written
+from .common import Sent, col, few_rows, pinned, removed, summed, table, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -169,7 +169,7 @@ def rows_and_sketch(docs: DataFrame, words: int) -> tuple[DataFrame, Sketch]:
 
     def run(batches):
         counts = np.zeros(COUNTERS, np.uint32)
-        for b in batches:
+        for b in few_rows(batches):
             sets = shingle_sets(b.column(2).to_pylist(), words)
             k = len(sets)
             if k:
@@ -207,7 +207,7 @@ def postings(docs: DataFrame, sketch: Sketch, collided: frozenset, words: int, p
 
     def run(batches):
         seen: set[int] = set()
-        for b in batches:
+        for b in few_rows(batches):
             parts: list[list[np.ndarray]] = [[] for _ in names]
             sets = shingle_sets(b.column(0).to_pylist(), words)
             for s, node in zip(sets, fingerprints(sets, collided)[0]):
@@ -263,7 +263,7 @@ def candidate_sets(docs: DataFrame, pairs: DataFrame, collided: frozenset, words
     def run(batches):
         wanted = np.unpackbits(sent.value).view(bool)
         seen: set[int] = set()
-        for b in batches:
+        for b in few_rows(batches):
             b = b.filter(pa.array(wanted[place_in_filter(b.column(0).to_numpy(zero_copy_only=False))]))
             node, sets = [], []
             every = shingle_sets(b.column(1).to_pylist(), words)
