@@ -32,6 +32,10 @@ PAIR = re.compile(
     rf"""(?<![A-Za-z0-9_$.-])["']?({NAME})["']?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?:({STRING})((?:[ \t]*\+[ \t]*(?:{STRING}))*+)|([^\s"'`,;(){{}}\[\]<>]++))"""
 )
 ONE_STRING = re.compile(STRING)
+JOINED = re.compile(rf"(?:[ \t]*\+[ \t]*(?:{STRING}|{NAME}))+")
+OPERAND = re.compile(rf"(?:{STRING})|({NAME})")
+#: Parts of one literal that are told apart: constants that are joined to themselves again and again would double each time.
+MOST_PARTS = 64
 #: Words of names and how sensitive they are.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9,
@@ -67,6 +71,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
+def alone_on_line(text: str, m: re.Match) -> bool:
+    """A bare value of a line that is only indent, name, colon and value, and that isn't a plain word."""
+    begin = text.rfind("\n", max(0, m.start() - 200), m.start()) + 1
+    end = text.find("\n", m.end(), m.end() + 200)
+    if begin == 0 and m.start() > 200 or end < 0 and len(text) - m.end() > 200:
+        return False
+    rest = text[m.end() : len(text) if end < 0 else end].strip()
+    return not text[begin : m.start()].strip(" \t-") and (not rest or rest.startswith("#")) and not m[4].isalpha()
+
+
 def lexed_literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals by the most sensitive name they reach, in text order."""
     if "=" not in text and ":" not in text:
@@ -80,8 +94,14 @@ def lexed_literals(text: str) -> list[tuple[int, int, str, float]]:
             parts = [(at + p.start() + 1, at + p.end() - 1, p[0][1:-1]) for p in ONE_STRING.finditer(text[at : m.end(3)])]
         elif m[4] in held:
             parts = held[m[4]]
-        elif "=" in text[m.end(1) : m.start(4)] and not m[4].startswith(("$", "&", "*", "@")):
+        elif not m[4].startswith(("$", "&", "*", "@")) and ("=" in text[m.end(1) : m.start(4)] or alone_on_line(text, m)):
             parts = [(m.start(4), m.end(4), m[4])]
+        if parts and (more := JOINED.match(text, m.end())):  # a constant and more: what is joined to it belongs to the literal
+            for p in OPERAND.finditer(more[0]):
+                at = m.end() + p.start()
+                parts = [*parts, *(held.get(p[1], []) if p[1] else [(at + 1, m.end() + p.end() - 1, p[0][1:-1])])]
+                if len(parts) > MOST_PARTS:
+                    break
         if not parts:
             continue
         held[name] = parts
@@ -97,9 +117,11 @@ def scan(text: str | None, least_score: float = LEAST_SCORE) -> tuple[list, list
     """Base spans, and those that lexing adds: literals of enough score that no base span holds."""
     text = text or ""
     base = sorted(base_spans(text))
-    added = []
+    added, k, reach = [], 0, 0  # reach: where the base spans that begin so far end at most
     for a, b, _, score in lexed_literals(text):
-        if score >= least_score and not any(s <= a and b <= e for s, _, e in base):
+        while k < len(base) and base[k][0] <= a:
+            reach, k = max(reach, base[k][2]), k + 1
+        if score >= least_score and b > reach:
             added.append((a, 3, b))
     return base, added
 
@@ -114,7 +136,7 @@ FIELDS = [*(T.StructField(f"n_{k}", T.LongType()) for k in KINDS), T.StructField
 def find_secrets(docs: DataFrame, text_col: str = "text", *, keep: list[str] | None = None) -> DataFrame:
     """row (the columns in keep, all by default), counts by kind, base_sha256 and spans (kind:start:end by start, comma-joined).
 
-    Null and empty texts have no spans; repeated rows are each scanned; offsets count code points and ends are exclusive.
+    Null and empty texts have no spans; repeated rows are each scanned; an empty table gives no rows; offsets count code points and ends are exclusive.
     """
 
     def work(texts):
@@ -145,6 +167,7 @@ def redact(text: str | None, mark: str = "[secret]") -> str | None:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets; nulls, empty texts and repeats as find_secrets has them."""
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("row.doc_id", *(f.name for f in FIELDS))
 
