@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, slices, table, with_text
+from .common import Sent, col, slices, table, with_text, written
 
 WINDOW = 8
 #: Words of benchmark text in one broadcast: 4 bytes each, and some 100 for each different word.
@@ -188,7 +188,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text_col="text", item
     carry = keep if len(ahead) < 2 or keep is None or text_col in keep else [*keep, text_col]
     found = None
     for block in itertools.chain(ahead, blocks):
-        sent = spark.sparkContext.broadcast(TestSuffixes(block, window))
+        sent = Sent(spark, TestSuffixes(block, window))
 
         def work(texts, sent=sent):
             n_words, matches = [], []
@@ -202,7 +202,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, *, text_col="text", item
             found = with_text(docs, text_col, work, fields, keep=carry)
         else:  # the row is carried through, so each pass adds the matches of its block
             more = with_text(found.withColumn("text", F.col("row").getField(text_col)), "text", work, fields, keep=["row", "matches"])
-            found = more.select(F.col("row.row").alias("row"), "n_words", F.concat("row.matches", "matches").alias("matches"))
+            # stored, so that no task holds more than one block at a time
+            found = written(more.select(F.col("row.row").alias("row"), "n_words", F.concat("row.matches", "matches").alias("matches")), "matches")
     if found is not None and carry != keep:
         found = found.withColumn("row", F.struct(*[F.col("row").getField(n).alias(n) for n in keep]))
     if found is None:
@@ -230,6 +231,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col="text", win
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's hits on all benchmark items; nulls, empty texts and repeats as find_matches has them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = table(spark, sf_dir, "benchmark")
     found = find_matches_slim(docs, bench)

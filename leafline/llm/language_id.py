@@ -16,14 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import col, fold, fold_col, has_letter, table, with_text
+from .common import Sent, col, fold, fold_col, has_letter, table, with_text
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "piece_bpe_32k.model"
 #: Labelled documents of each language that the probabilities are fitted on (about: they are picked by hash), and smoothing.
 SAMPLE_DOCS, SMOOTHING = 4000, 0.1
-#: Words whose likelihoods a task keeps, and languages at most.
-KEPT_WORDS, MOST_LANGUAGES = 400_000, 256
+#: Words whose likelihoods a task keeps.
+KEPT_WORDS = 400_000
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 UNKNOWN = "und"
@@ -126,11 +126,11 @@ class Model:
 def fit(docs: DataFrame, *, text_col="text", lang_col="lang", tokenizers: str = TOKENIZERS, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Probabilities from about sample_docs labelled rows of each language, picked by a hash of the text; whole texts are used.
 
-    Rows with null text or language are not used. Without labelled rows the model has no language. The most_common MOST_LANGUAGES
-    languages are kept, so that what comes to the driver, and what is broadcast, has a bound.
+    Rows with null text or language are not used. Without labelled rows the model has no language. Every language that occurs is
+    learned; the model has one number for each of them and each piece of the vocabulary.
     """
     rows = docs.select(col(lang_col).cast("string").alias("lang"), col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model([], {}, tokenizers)
     share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_docs / n)))])
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model, *, text_col="text", keep: list[str] |
     Null texts and texts without letters are "und" with score 0, and so is everything if the model has no language. Ties go to the
     first language in sort order. Every row is predicted by its text alone, however long that is.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(docs.sparkSession, model)
     state: dict = {}
 
     def work(texts):
@@ -196,6 +196,7 @@ def predict(docs: DataFrame, model: Model, *, text_col="text", keep: list[str] |
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language; nulls, texts without letters and ties as predict has them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(fold_col(F.col("doc_id"), 3) != 1))
     found = predict(docs.select("doc_id", "text"), model, keep=["doc_id"])

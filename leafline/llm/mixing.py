@@ -106,6 +106,7 @@ def mix(docs: DataFrame, *, id_col="doc_id", source_col="source", text_col="text
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document; null sources, empty texts and repeats as mix has them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs, keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
