@@ -84,7 +84,54 @@ def test_html():
     <section id="comments"><p>Reader says hello and more words</p></section><footer>&copy; x</footer></body></html>"""
     assert html_extract.extract(page) == "Head & line\nFirst paraé goes on with many words here and more.\nSecond one."
     assert html_extract.extract(None) == "" and html_extract.extract("") == "" and html_extract.extract("<p></p>") == ""
-    assert html_extract.extract("<<< just words < 3 here") != ""
+    assert html_extract.extract("<<< just words < 3 here") == "<<< just words < 3 here"
+
+
+def article(seed):
+    """Blocks of an article, as (tag, words)."""
+    r = np.random.default_rng(seed)
+    blocks = [("h1", prose(seed, 6, ENGLISH))]
+    for k in range(int(r.integers(3, 9))):
+        blocks.append((["p", "p", "p", "h2", "blockquote", "li"][int(r.integers(0, 6))], prose(seed * 31 + k, int(r.integers(2, 60)), ENGLISH)))
+    return blocks
+
+
+def page_of(seed, wrap):
+    """A page around the article, whose text is known."""
+    blocks = article(seed)
+    body = "".join(f"<{t}>{x}</{t}>" if t != "li" else f"<ul><li>{x}</li></ul>" for t, x in blocks)
+    links = "".join(f"<li><a href='/{k}'>{prose(seed + k, 2, GERMAN)}</a></li>" for k in range(6))
+    aside = f"<aside><p>{prose(seed + 5, 12, GERMAN)}</p></aside><div class='ad'>{prose(seed + 6, 15, GERMAN)}</div>"
+    html = f"<html><head><title>t</title></head><body><nav><ul>{links}</ul></nav>{aside}{wrap[0]}{body}{wrap[1]}<div class='comment-list'><p>{prose(seed + 7, 20, GERMAN)}</p></div><footer>{prose(seed + 8, 9, GERMAN)}</footer></body></html>"
+    return html, "\n".join(x for _, x in blocks)
+
+
+def test_html_extraction_by_its_scan(spark):
+    """Held-out pages against their known text: with the article element, with a plain wrapper, and with none."""
+    label = spark.createDataFrame([(page_of(k, ("<article>", "</article>"))[0],) for k in range(40)], "html string")
+    weights = html_extract.fit_weights(label)
+    for wrap in (("<article>", "</article>"), ("<div class='post-body'>", "</div>"), ("", "")):
+        rows = [(k, *page_of(k, wrap)) for k in range(100, 160)]
+        found = {r.row.k: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "k long, html string, text string"), weights=weights, keep=["k"]).collect()}
+        shared = sizes = 0
+        for k, _, want in rows:
+            a, b = Counter(found[k].split()), Counter(want.split())
+            shared, sizes = shared + 2 * sum((a & b).values()), sizes + sum(a.values()) + sum(b.values())
+        assert shared / sizes > 0.99, wrap
+    for name in ("page no-sidebar", "has-header theme", "post share-enabled", "content related-posts-off"):
+        for inner in (page_of(7, ("", "")), page_of(7, ("<article>", "</article>"))):
+            assert html_extract.extract(inner[0].replace("<body>", f"<body class='x'><div class='{name}'>").replace("</body>", "</div></body>"), weights) == inner[1], name
+    assert "Headline" in html_extract.extract("<article><header><h1>Headline</h1></header><p>text goes on here</p></article>", weights)
+
+
+def test_html_cases(spark):
+    for make in (lambda n: "<a href=x " * n, lambda n: "<article>" * n + "word", lambda n: "<a '\"> " * n, lambda n: "<script>" * n, lambda n: "<nav>x" * n, lambda n: "<!--" * n):
+        html_extract.extract(make(50_000))  # each in time linear in its length
+    rows = [(1, None, "t", 1), (1, "", "t", 2), (None, "<p>one two three</p>", "t", 3), (None, "<p>one two three</p>", "t", 4)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string, row long")
+    got = {r.row.row: (r.row.text, r.text) for r in html_extract.extract_pages(df).collect()}
+    assert got == {1: ("t", ""), 2: ("t", ""), 3: ("t", "one two three"), 4: ("t", "one two three")}
+    assert html_extract.extract_pages(df.limit(0)).count() == 0 and html_extract.fit_weights(df.limit(0)) == {}
 
 
 def test_mixing(docs):
@@ -184,12 +231,46 @@ def test_jaccard_hot_copies_with_appended_words(spark):
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 600, n).astype(np.uint64)) for n in (1, 5, 40, 300, 2000)] + [np.zeros(0, np.uint64)]
-    longs = [np.array(x, np.int64).view(np.uint64) for x in jaccard_join.parities(sets).to_pylist()]
+    longs = [x.view(np.uint64) for x in jaccard_join.parities(sets)]
+    assert [len(x) for x in longs] == [8, 8, 8, 8, 32, 8]  # of at most 600 values
     for x, p in zip(sets, longs):
         for y, q in zip(sets, longs):
+            while len(p) > len(q):
+                p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+            while len(q) > len(p):
+                q = q[: len(q) // 2] ^ q[len(q) // 2 :]
             assert sum(int(k).bit_count() for k in p ^ q) <= len(np.setxor1d(x, y))
 
 
+def test_parities_as_columns(spark):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 2**60, n).astype(np.uint64)) for n in (250, 257, 500, 600)]
+    df = spark.createDataFrame([(x.tolist(), y.tolist(), len(np.setxor1d(a, b))) for a, x in zip(sets, jaccard_join.parities(sets)) for b, y in zip(sets, jaccard_join.parities(sets)) if len(x) <= 2 * len(y) and len(y) <= 2 * len(x)], "x array<long>, y array<long>, n int")
+    rows = df.select("n", jaccard_join.differing(F.col("x"), F.col("y")).alias("bits"), F.size(jaccard_join.folded(F.col("x"))).alias("size")).collect()
+    assert all(r.bits <= r.n and r.size == jaccard_join.PARITY_LONGS and (r.bits == 0) == (r.n == 0) for r in rows)
+
+
+def test_colliding_names(spark, monkeypatch):
+    """With names of one value for all sets the second fingerprint tells them apart."""
+    sets = [np.arange(k, dtype=np.uint64) for k in (1, 2, 3, 3)]
+    names, seconds = jaccard_join.fingerprints(sets)
+    assert len(set(names)) == len(set(seconds)) == 3 and names[2] == names[3]
+    assert jaccard_join.fingerprints(sets, frozenset(names[1:2]))[0] == [names[0], seconds[1], names[2], names[3]]
+    rows = spark.createDataFrame([(1, 0, 2, 8, 12, [0] * 8), (2, 0, 2, 8, 16, [0] * 8), (3, 0, 2, 4, 4, [0] * 8)], "id long, text_hash long, n int, node long, second long, parity array<long>")
+    named, _, collided = jaccard_join.nodes_of(rows)
+    assert collided == {8} and sorted(r.node for r in named.collect()) == [4, 12, 16]
+
+
+def test_one_of_each(spark):
+    t = prose(31, 60, ENGLISH)
+    u = prose(32, 60, GERMAN)
+    rows = [(5, t, "a"), (5, t, "b"), (None, t, "c"), (7, t + " more", "d"), (5, u, "e"), (3, u, "f"), (None, prose(33, 60, ENGLISH), "g"), (None, prose(33, 60, ENGLISH), "h"), (9, None, "i"), (9, " ", "j"), (None, "", "k")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r.row for r in kept.collect()) == ["a", "f", "g", "i", "j", "k"]
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
 def test_licenses(docs):
     got = by_row(license_scan.find_licenses(docs), "licenses", "whole")
     assert got[3] == (["MIT"], False) and got[4] == ([], False)
@@ -240,6 +321,30 @@ def test_line_dedup(docs):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_line_runs_compact_with_the_settings_of_the_query(spark, monkeypatch):
+    """More batches than fanout: a level fills and is merged, and nothing is left behind."""
+    made = []
+    runs = line_dedup.LineRuns
+    monkeypatch.setattr(line_dedup, "LineRuns", lambda *a, **b: made.append(runs(*a, **b)) or made[-1])
+    df = spark.createDataFrame([(k, f"shared line of text\nown line number {k}") for k in range(50)], "doc_id long, text string")
+    before = len(spark.catalog.listTables())
+    got = line_dedup.dedup_lines(df).select("row.doc_id", "n_dropped").collect()
+    assert made[0].compactions == 1 and made[0].runs() == [] and len(spark.catalog.listTables()) == before
+    assert sum(r.n_dropped for r in got) == 49
+    kept = runs(spark, fanout=2)
+    line_dedup.dedup_lines(df.filter("doc_id < 20"), runs=kept)
+    late = line_dedup.dedup_lines(df.filter("doc_id >= 20"), runs=kept).collect()
+    assert all(r.n_dropped == 1 for r in late) and kept.runs()
+    kept.drop()
+
+
+def test_very_long_text_of_repeated_lines(spark):
+    text = "\n".join(f"line number {k % 20_000} of the text" for k in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: (100_000, 0), 2: (100_000, 100_000)}
+
+
 def test_quality(docs):
     made = quality_rules.ledger(docs)
     got = by_row(made, "n_words", "n_repeat_words", "n_dup_lines", "mask")
@@ -257,7 +362,7 @@ def test_quality(docs):
 
 def test_lm(docs):
     training = docs.filter("row % 7 <> 2")
-    fitted = lm_scoring.fit(training, steps=30)
+    fitted = lm_scoring.fit(training, rounds=1, least_steps=10)
     got = by_row(lm_scoring.score(docs, fitted), "n_tokens", "n_known", "train_tokens", "base_score", "score")
     texts, held = texts_of(docs), {r["row"] for r in training.collect()}
     count = Counter()
@@ -270,7 +375,7 @@ def test_lm(docs):
         base = sum(math.log10((count[t] + 1) / (n + v + 1)) for t in tokens)
         assert got[k][:3] == (len(tokens), sum(count[t] > 0 for t in tokens), n) and abs(got[k][3] - base) < 1e-6
         assert got[k][4] < 0 and np.isfinite(got[k][4])
-    rare = by_row(lm_scoring.score(docs, lm_scoring.fit(training, steps=1, frequent=3)), "n_known", "base_score")
+    rare = by_row(lm_scoring.score(docs, lm_scoring.fit(training, rounds=1, least_steps=1, frequent=3)), "n_known", "base_score")
     assert all(rare[k][0] == got[k][1] and abs(rare[k][1] - got[k][3]) < 1e-6 for k in got)
 
 
@@ -283,7 +388,7 @@ def test_attention_gradients_and_scores():
     valid[0, :10] = False
     scored = np.ones((4, lm_scoring.SCORED), bool) & valid[:, lm_scoring.OVERLAP :]
     targets = r.integers(0, 50, (4, lm_scoring.SCORED))
-    _, g = m.gradients(ids, valid, m.class_of[targets], scored)
+    _, at, g = m.gradients(ids, valid, m.class_of[targets], scored)
     for name in ("Wq", "Wk", "Wv", "Wo", "Wc", "P"):
         w = getattr(m, name)
         w64 = w[1, 2]
@@ -292,18 +397,87 @@ def test_attention_gradients_and_scores():
             w[1, 2] = w64 + e
             loss.append(m.gradients(ids, valid, m.class_of[targets], scored)[0])
         w[1, 2] = w64
+        w[1, 2] = w64
         assert abs((loss[0] - loss[1]) / 2e-2 - g[name][1, 2]) < 2e-3, name
+    place_of = at.tolist().index(ids[1, 3])
+    loss = []
+    for e in (1e-2, -1e-2):
+        m.E[ids[1, 3], 2] += e
+        loss.append(m.gradients(ids, valid, m.class_of[targets], scored)[0])
+        m.E[ids[1, 3], 2] -= e
+    assert abs((loss[0] - loss[1]) / 2e-2 - g["E"][place_of, 2]) < 2e-3
     full = m.forward(ids, valid)["p"]
     want = np.log(np.take_along_axis(full, m.class_of[targets][..., None].astype(int), 2)[..., 0]) + m.log_share[targets]
     got = m.fused().log_probabilities(ids, valid, targets)
     assert np.allclose(got[scored], want[scored], atol=1e-3)
-    place, ok, once, seq = lm_scoring.windows(np.zeros(40, int), np.array([0, 1, 40]))
+    place, ok, once, seq = lm_scoring.windows(np.array([0, 1, 40]), np.array([0, 0]))
     assert once.sum() == 40 and set(seq) == {0, 1}
+    place, ok, once, seq = lm_scoring.windows(np.array([0, 30]), np.array([8]))
+    assert once.sum() == 22 and ok[0].all() and place[0, 0] == 0
+
+
+def test_long_texts_score_as_one(spark, monkeypatch):
+    """A text of several pieces has the score that it has in one piece."""
+    text = " ".join(prose(k, 200, ENGLISH + GERMAN) for k in range(3, 7)) + " " + "x" * 700
+    docs = spark.createDataFrame([(0, text), (1, prose(50, 40, ENGLISH)), (2, "")], "row long, text string")
+    fitted = lm_scoring.fit(docs, rounds=1, least_steps=5, share=1)
+    whole = by_row(lm_scoring.score(docs, fitted), "n_tokens", "n_known", "base_score", "score")
+    monkeypatch.setattr(lm_scoring, "PIECE", 500)
+    pieces = by_row(lm_scoring.score(docs, fitted), "n_tokens", "n_known", "base_score", "score")
+    for k, want in whole.items():
+        assert pieces[k][:2] == want[:2] and np.allclose(pieces[k][2:], want[2:], rtol=1e-5)
+    assert lm_scoring.score(docs.limit(0), fitted).count() == 0
+    long = spark.createDataFrame([(0, "lorem ipsum " * 250_000)], "row long, text string")  # 3 MB
+    assert by_row(lm_scoring.score(long, fitted), "n_tokens")[0] == (500_001,)
+
+
+def test_training_grows_with_the_input(spark):
+    subwords = lm_scoring.Subwords(lm_scoring.TOKENIZERS)
+    sizes = []
+    for n in (20, 200):
+        parts = next(iter(lm_scoring.pieces_of([prose(k, 100, ENGLISH) for k in range(n)])))
+        sizes.append(len(lm_scoring.picked_windows(parts, lm_scoring.Chunk(parts, subwords), subwords, 4)))
+    assert 6 < sizes[1] / sizes[0] < 15
 
 
 def test_pipeline(spark, docs, bench, tmp_path):
-    docs.drop("row", "lines").filter("doc_id is not null").write.parquet(str(tmp_path / "documents.parquet"))
+    docs.drop("row", "lines").write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = [r.doc_id for r in got]
-    assert len(ids) == len(set(ids)) and 9 in ids and 4 not in ids and 14 not in ids and 2 not in ids
+    assert len(ids) == len(set(ids)) and 9 in ids and 4 not in ids and 14 not in ids and 2 not in ids and None in ids
+
+
+def test_pipeline_of_nothing(spark, docs, bench, tmp_path):
+    docs.drop("row", "lines").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_workers_need_not_import_the_package(tmp_path):
+    """The driver has the package on its path alone; its workers start in another folder."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = str(Path(__file__).resolve().parents[2])
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+from leafline.llm import decontaminate, html_extract, jaccard_join, language_id, lm_scoring, secret_scan
+docs = spark.createDataFrame([(k, "some words of english text that go on %d" % (k % 3), "en") for k in range(9)], "doc_id long, text string, lang string")
+def alone(rows):
+    import importlib.util
+    yield importlib.util.find_spec("leafline") is None
+assert all(spark.sparkContext.parallelize(range(2), 2).mapPartitions(alone).collect())
+assert decontaminate.find_matches(docs, docs.select(docs.doc_id.alias("item_id"), "text")).count() == 9
+assert len({{r.component_id for r in jaccard_join.jaccard_classes(docs).collect()}}) == 3
+assert language_id.predict(docs, language_id.fit(docs)).count() == 9
+assert lm_scoring.score(docs, lm_scoring.fit(docs, rounds=1, least_steps=1)).count() == 9
+assert secret_scan.find_secrets(docs).count() == 9 and html_extract.extract_pages(docs, "text").count() == 9
+print("all ran")
+"""
+    got = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=600, env={k: v for k, v in __import__("os").environ.items() if k != "PYTHONPATH"})
+    assert "all ran" in got.stdout, got.stderr[-2000:]
