@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler, ExpressionError, Node, Scope, Val, as_bool, as_num, compile_value, parse, row_field
 from ..functions.values import VALUE, value
+from .graph import clean
 from .query import as_text_value, effective
 
 
@@ -70,6 +71,12 @@ def names_in(node: Node, name: str) -> bool:
     return node.kind == "name" and node.value == name or any(names_in(a, name) for a in node.args)
 
 
+def names_used(node: Node) -> set[str]:
+    """Names and members that an expression may look up in a record; more than it does look up is harmless."""
+    own = {node.value} if isinstance(node.value, str) else set()
+    return own.union(*(names_used(a) for a in node.args if isinstance(a, Node)))
+
+
 def with_siblings(records: DataFrame) -> DataFrame:
     """children: the other records of the directory. Lists are inherent to expressions over siblings; counts alone need rollup()."""
     one = F.struct("path", "type", "fm")
@@ -77,18 +84,20 @@ def with_siblings(records: DataFrame) -> DataFrame:
     return records.withColumn("children", F.array_sort(F.filter(all_, lambda x: x["path"] != F.col("path")), lambda a, b: F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)))
 
 
-def linked_values(records: DataFrame, name: str, edge_type: str, value_field: str) -> DataFrame:
+def linked_values(records: DataFrame, name: str, edge_type: str, value_field: str, *, among: DataFrame | None = None) -> DataFrame:
     """linked_<name>: texts of value_field in the records that links of a type lead to, by path or by unique base name, in link order.
 
+    Links lead to the records in among, whatever schema governs those; to records themselves if not given.
     Targets' metadata is read, never their derived values, so that the result doesn't hang on the order of records.
     """
     links = records.select("path", "dir", F.posexplode("links").alias("pos", "l")).filter(F.col("l.type") == edge_type)
-    rel = F.when(F.col("dir") == "", F.col("l.target")).otherwise(F.concat_ws("/", "dir", "l.target"))
+    # a target with a folder counts from the record's own; a bare one is a path from the root, or a base name
+    rel = F.when(F.col("l.target").contains("/") | F.col("l.target").contains(".."), clean(F.concat_ws("/", "dir", "l.target"))).otherwise(F.col("l.target"))
     links = links.select("path", "pos", rel.alias("rel"), F.col("l.target").alias("raw"))
     text = F.try_element_at("fm", F.lit(value_field))
-    held = records.select(F.col("path").alias("to"), "base", F.when(text.isNotNull(), text["text"]).alias("text"))
-    stem = F.regexp_replace("base", r"\.[^.]*$", "")
-    unique = held.withColumn("name", stem).groupBy("name").agg(F.count("*").alias("n"), F.first("to").alias("to"), F.first("text").alias("text")).filter("n = 1").select(F.col("name").alias("raw"), F.col("text").alias("t3"), F.col("to").alias("p3"))
+    held = (records if among is None else among).select(F.col("path").alias("to"), "base", F.when(text.isNotNull(), text["text"]).alias("text"))
+    stem = F.regexp_replace("base", r"\.md$", "")
+    unique = held.withColumn("name", F.explode(F.array_distinct(F.array(F.col("base"), stem)))).groupBy("name").agg(F.count("*").alias("n"), F.first("to").alias("to"), F.first("text").alias("text")).filter("n = 1").select(F.col("name").alias("raw"), F.col("text").alias("t3"), F.col("to").alias("p3"))
     out = links.join(held.select(F.col("to").alias("rel"), F.col("text").alias("t1"), F.col("to").alias("p1")), "rel", "left")
     out = out.join(held.select(F.col("to").alias("raw"), F.col("text").alias("t2"), F.col("to").alias("p2")), "raw", "left").join(unique, "raw", "left")
     found = F.when(F.col("p1").isNotNull(), F.col("t1")).when(F.col("p2").isNotNull(), F.col("t2")).otherwise(F.col("t3"))
@@ -145,8 +154,9 @@ class PartCompiler(Compiler):
         return Val(n.value[1], F.col(n.value[0]))
 
 
-def rollup(records: DataFrame, rules: dict[str, str], *, index_base: str = "README.md") -> DataFrame:
-    """Index records get each rule over their descendants: the non-index records below their directory, at any depth.
+def rollup(records: DataFrame, rules: dict[str, str], *, index_base: str = "README.md", where: Column | None = None) -> DataFrame:
+    """Index records (those of where, if given) get each rule over their descendants: the non-index records below their directory, at
+    any depth and under any schema.
 
     Expressions of descendants become partial aggregates over (ancestor, record) pairs: an equi-join on ancestor directories, whose
     size is records times depth. An index without descendants sees the empty set. Rules over children (the indexes below) run in
@@ -155,8 +165,13 @@ def rollup(records: DataFrame, rules: dict[str, str], *, index_base: str = "READ
     trees = {n: parse(e) for n, e in rules.items()}
     own = Rollup()
     rewritten = {n: own.rewrite(t) for n, t in trees.items()}
-    index = records.filter(F.col("base") == index_base)
-    items = records.filter(F.col("base") != index_base).select(F.explode("ancestors").alias("dir"), F.struct("path", "type", "fm").alias("item"))
+    is_index = (F.col("base") == index_base) & (F.lit(True) if where is None else where)
+    index = records.filter(is_index)
+    # only directories that have an index, and only the metadata that the rules name, are dealt out
+    read = sorted({x for t in trees.values() for x in names_used(t)})
+    slim = F.map_filter("fm", lambda k, _: k.isin(*read)) if read else F.map_filter("fm", lambda k, _: F.lit(False))
+    items = records.filter(F.col("base") != index_base).select(F.explode("ancestors").alias("dir"), "path", "type", slim.alias("fm"))
+    items = items.join(index.select("dir").distinct(), "dir", "left_semi").select("dir", F.struct("path", "type", "fm").alias("item"))
     pre = items.groupBy("dir").agg(*own.parts) if own.parts else items.select("dir").distinct()
     empty = index.select("path").limit(0).withColumn("item", F.lit(None).cast(items.schema["item"].dataType)).agg(*own.parts) if own.parts else None
     joined = index.join(pre, "dir", "left")
@@ -167,23 +182,30 @@ def rollup(records: DataFrame, rules: dict[str, str], *, index_base: str = "READ
     scope = Scope(lambda name: Val("fv", F.try_element_at("fm", F.lit(name))), custom=True)
     results = {n: boxed(PartCompiler(scope).run(t)) for n, t in rewritten.items()}
     done = put(joined, results).select(*records.columns)
-    return records.filter(F.col("base") != index_base).unionByName(done)
+    return records.filter(~is_index).unionByName(done)
 
 
-def rollup_children(records: DataFrame, rules: dict[str, str], *, index_base: str = "README.md") -> DataFrame:
-    """As rollup, with children: the index records strictly below, and their results; one pass for each depth, deepest first."""
+def rollup_children(records: DataFrame, rules: dict[str, str], *, index_base: str = "README.md", groups: list[tuple[Column, dict[str, str]]] | None = None) -> DataFrame:
+    """As rollup, with children: the index records strictly below, and their results; one pass for each depth, deepest first.
+
+    groups, if given, has the rules of the index records for which each condition holds; conditions exclude each other.
+    """
+    groups = groups if groups is not None else [(F.lit(True), rules)]
     depths = [r[0] for r in records.filter(F.col("base") == index_base).select("depth").distinct().orderBy(F.desc("depth")).collect()]
     done = records
-    for depth in depths:
+    for depth, (where, rules) in ((d, g) for d in depths for g in groups):
         own = Rollup("children")
         rewritten = {n: own.rewrite(parse(e)) for n, e in rules.items()}
+        at = (F.col("base") == index_base) & (F.col("depth") == depth) & where
         low = done.filter((F.col("base") == index_base) & (F.col("depth") > depth))
         kids = low.select(F.explode(F.filter("ancestors", lambda a: a != F.col("dir"))).alias("dir"), F.struct("path", "type", overlay(F.col("fm"), F.col("derived")).alias("fm")).alias("item"))
-        here = done.filter((F.col("base") == index_base) & (F.col("depth") == depth))
+        here = done.filter(at)
         pairs = here.select("path", "dir").join(kids, "dir", "left").groupBy("path").agg(*own.parts)
         scope = Scope(lambda name: Val("fv", F.try_element_at("fm", F.lit(name))), custom=True)
         got = put(here.join(pairs, "path"), {n: boxed(PartCompiler(scope).run(t)) for n, t in rewritten.items()}).select(*records.columns)
-        done = done.filter((F.col("base") != index_base) | (F.col("depth") != depth)).unionByName(got).checkpoint() if done.sparkSession.sparkContext.getCheckpointDir() else done.filter((F.col("base") != index_base) | (F.col("depth") != depth)).unionByName(got)
+        done = done.filter(~at).unionByName(got)
+        if done.sparkSession.sparkContext.getCheckpointDir():
+            done = done.checkpoint()
     return done
 
 

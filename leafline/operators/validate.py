@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import any_component, glob_match
+from ..functions.scalars import any_component, glob_match, glob_regex, heading_slug
+from . import graph
 from .query import effective
 from .schema import Field, Links, Rule, Schema
 
@@ -55,10 +56,11 @@ def selected(source: str):
 
 
 def field_violations(name: str, f: Field, aggregated: set[str], index_base: str) -> list[Column]:
-    """One nullable struct for each rule of a field; null where it holds."""
+    """One nullable struct for each rule of a field; null where it holds, and for records that the field's match leaves out."""
     if f.severity == "off":
         return []
     out = []
+    applies = any_component(F.col("path"), list(f.match)) if f.match else F.lit(True)
     ambiguous = F.lit(False)
     if f.source and f.source != "body.h1":
         ambiguous = ~F.map_contains_key("fm", F.lit(name)) & (F.size(F.filter("body_sections", selected(f.source))) > 1)
@@ -71,6 +73,8 @@ def field_violations(name: str, f: Field, aggregated: set[str], index_base: str)
         if f.excludes:
             exempt = exempt | glob_match(F.col("path"), f.excludes)
         present = v.isNotNull() if f.source else F.map_contains_key("fm", F.lit(name))
+        if f.required_match:
+            exempt = exempt | ~any_component(F.col("path"), list(f.required_match))
         out.append(F.when(~present & ~exempt & ~ambiguous, struct(name, "required", f.severity, "missing")))
     there = v.isNotNull() & (v["repr"] != "null")
     good = v["repr"].isin(*EXPECTED[f.type]) if f.type in EXPECTED else F.lit(True)
@@ -78,12 +82,28 @@ def field_violations(name: str, f: Field, aggregated: set[str], index_base: str)
     if f.type == "enum":
         issue = F.coalesce(issue, F.when(there & ~v["text"].isin(*f.values), struct(name, "enum", f.severity, v["text"])))
     if f.type == "sequence":
-        issue = F.coalesce(issue, F.when(there & ~v["text"].rlike(f"^{re.escape(f.prefix)}[0-9]{{{f.digits}}}$"), struct(name, "sequence-format", f.severity, v["text"])))
+        issue = F.coalesce(issue, F.when(there & ~follows_sequence(v["text"], f), struct(name, "sequence-format", f.severity, v["text"])))
     if f.type == "link":
         linked = lambda c: c.rlike(r"\[\[[^\[\]]+\]\]")
         fine = F.when(v["repr"] == "sequence", F.forall(F.coalesce(v["items"], F.array().cast("array<struct<repr:string,text:string,num:double,bool:boolean>>")), lambda x: (x["repr"] == "string") & linked(x["text"]))).otherwise(linked(v["text"]))
         issue = F.coalesce(issue, F.when(there & ~fine, struct(name, "link-format", f.severity, v["text"])))
-    return [*out, F.when(~ambiguous, issue)]
+    return [F.when(applies, x) for x in (*out, F.when(~ambiguous, issue))]
+
+
+def deepest(regex: str) -> Column:
+    """Place of the last component of the path that a pattern fits, -1 for none."""
+    return F.array_max(F.transform(F.split("path", "/"), lambda c, i: F.when(c.rlike(regex), i).otherwise(F.lit(-1))))
+
+
+def follows_sequence(text: Column, f: Field) -> Column:
+    """Whether a text has the prefix and digits of the field, or those that its match sets for the deepest component of the path."""
+    form = lambda prefix, digits: text.rlike(f"^{re.escape(prefix or f.prefix)}[0-9]{{{digits or f.digits}}}$")
+    out, best = form("", 0), F.lit(-1)
+    for pattern, (prefix, digits) in sorted(f.match_config):
+        if regex := glob_regex(pattern):
+            last = deepest(regex)
+            out, best = F.when(last > best, form(prefix, digits)).otherwise(out), F.greatest(best, last)
+    return out
 
 
 def rule_violations(r: Rule) -> list[Column]:
@@ -129,6 +149,31 @@ def link_violations(links: Links) -> Column:
     return F.concat(*parts) if parts else None
 
 
+def link_checks(records: DataFrame, links: Links, files: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """path, field, rule, severity and message of links (of the governed styles) that lead nowhere (on unless the schema says no), whose
+    anchor is no heading of the record they lead to, or that have spaces in their target (both if the schema asks).
+
+    files has the paths that targets may name, records or not; anchors are looked up in the headings of among (records themselves if
+    not given), and one in a file that is no record is not judged. Where base names may stand for paths, a target that no path fits
+    is a warning. One equi-join for each check.
+    """
+    e = graph.edges(records, links.effective_styles)
+    found = lambda df, rule, severity, message: df.select(F.col("source").alias("path"), F.lit("links").alias("field"), F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"))
+    parts = []
+    if links.checks.get("encoding"):
+        parts.append(found(e.filter(F.col("target").contains(" ")), "link_encoding", "error", F.col("target")))
+    if links.resolves or links.checks.get("anchors"):
+        e = graph.resolve(e, files)
+    if links.resolves:
+        rule, severity = ("link_unverifiable", "warn") if links.basename_fallback else ("link_resolve", "error")
+        parts.append(found(e.filter("to is null"), rule, severity, F.col("target")))
+    if links.checks.get("anchors"):
+        heads = (records if among is None else among).select(F.col("path").alias("to"), F.transform("body_sections", lambda s: heading_slug(s["heading"])).alias("slugs"))
+        asked = e.filter("anchor <> ''").join(heads, "to")
+        parts.append(found(asked.filter(~F.array_contains("slugs", F.lower(graph.decoded(F.col("anchor"))))), "link_anchor", "error", F.concat("anchor", F.lit(" not found in "), "to")))
+    return reduce(DataFrame.unionByName, parts) if parts else records.select("path").limit(0).select("path", *[F.lit("").alias(c) for c in COLUMNS[1:]])
+
+
 def off_target(kind: str, pattern: str):
     return lambda x: (x["type"] == kind) & ~x["target"].rlike(pattern)
 

@@ -164,10 +164,9 @@ def derive_bytes(spark, d):
     return derive.derive(docs, {"bytes": "strlen(text)", "size": 'len(text) > 2000 ? "long" : "short"'}).select(num("doc_id"), num("bytes"), text("size"))
 
 
-@registered("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) - 1 AS siblings, bool_and(role <> 'system') OVER (PARTITION BY conv_id) AS no_system FROM conversations WHERE conv_id % 2 = 0")
+@registered("SELECT conv_id, turn, count(*) OVER (PARTITION BY conv_id) - 1 AS siblings, bool_and(role <> 'system') OVER (PARTITION BY conv_id) AS no_system FROM conversations")
 def derive_siblings(spark, d):
-    conv = t(spark, d, "conversations").filter("conv_id % 2 = 0")
-    recs = lift(conv, F.concat(key("C", "conv_id"), key("/", "turn"), F.lit(".md")), ["conv_id", "turn", "role"])
+    recs = lift(t(spark, d, "conversations"), F.concat(key("C", "conv_id"), key("/", "turn"), F.lit(".md")), ["conv_id", "turn", "role"])
     out = derive.derive(recs, {"siblings": "len(children)", "no_system": 'all(children, {.role != "system"}) && role != "system"'})
     return out.select(num("conv_id"), num("turn"), num("siblings"), effective("no_system")["bool"].alias("no_system"))
 
@@ -315,6 +314,27 @@ def graph_resolve(spark, d):
 
 # ---- validation
 
+
+@registered("""SELECT 'N' || n_nationkey AS source, CASE n_nationkey % 4 WHEN 0 THEN 'link_resolve' WHEN 1 THEN 'link_encoding' WHEN 2 THEN 'link_anchor' END AS rule
+FROM nation WHERE n_nationkey % 4 < 3 UNION ALL SELECT 'N' || n_nationkey, 'link_resolve' FROM nation WHERE n_nationkey % 4 = 1""")
+def validate_link_checks(spark, d):
+    """A target that is missing, one with a space that is missing too, an anchor that no heading has, and a good link."""
+    k = F.col("n_nationkey") % 4
+    target = F.when(k == 0, F.lit("gone")).when(k == 1, F.lit("N 1")).otherwise(key("N", "n_nationkey"))
+    recs = lift(t(spark, d, "nation"), key("N", "n_nationkey"), ["n_name"], links=F.array(link(target, "in").withField("anchor", F.when(k == 2, F.lit("no-heading")).otherwise(F.lit("")))))
+    return validate.link_checks(recs, Links(checks={"anchors": True, "encoding": True}), recs.select("path")).select(F.col("path").alias("source"), "rule")
+
+
+@registered("""SELECT p_partkey, 'p_type' AS field, 'enum' AS rule FROM part WHERE p_size > 25 AND p_type <> 'PROMO' UNION ALL
+SELECT p_partkey, 'missing', 'required' FROM part WHERE p_size <= 25""")
+def validate_match_filters(spark, d):
+    """A field that holds below one directory only, and one that is required below the other only."""
+    folder = F.when(F.col("p_size") > 25, F.lit("large/P")).otherwise(F.lit("small/P"))
+    recs = lift(t(spark, d, "part"), F.concat(folder, F.col("p_partkey").cast("string")), ["p_partkey", "p_type"])
+    s = Schema(fields={"p_type": Field("enum", values=("PROMO",), match=("large",)), "missing": Field("string", required=True, required_match=("small",))})
+    return validate.violations(recs, s).select(F.regexp_extract("path", r"P(\d+)", 1).cast("bigint").alias("p_partkey"), "field", "rule")
+
+
 DOC_SCHEMA = Schema(
     fields={
         "quality": Field("integer", required=True), "lang": Field("enum", values=("en", "fr", "de")), "source": Field("sequence", prefix="src", digits=2),
@@ -450,9 +470,9 @@ def extend_enum(spark, d):
     return propose.extend_enum(validate.violations(orders(spark, d), s)).select(F.col("to").alias("value"))
 
 
-@registered("SELECT c_custkey, c_mktsegment AS wrong, c_mktsegment || 'X' AS fixed FROM customer WHERE c_custkey % 3 = 0")
+@registered("SELECT c_custkey, c_mktsegment AS wrong, c_mktsegment || 'X' AS fixed FROM customer")
 def correct_value(spark, d):
-    c = t(spark, d, "customer").filter("c_custkey % 3 = 0")
+    c = t(spark, d, "customer")
     segments = ("AUTOMOBILEX", "BUILDINGX", "FURNITUREX", "HOUSEHOLDX", "MACHINERYX")
     s = Schema(fields={"c_mktsegment": Field("enum", values=segments)})
     got = propose.correct_value(validate.violations(lift(c, key("C", "c_custkey"), ["c_mktsegment"]), s), s)

@@ -52,20 +52,21 @@ class Vault:
         def one(df, s):
             linked = {r.field: (k, r.value_field or "estado") for k, r in s.links.rules.items() if r.field}
             for name, (kind, value_field) in linked.items():
-                df = derive.linked_values(df, name, kind, value_field)
+                df = derive.linked_values(df, name, kind, value_field, among=self.records)
             df = derive.enrich(derive.derive(df, {k: str(v) for k, v in s.derive.items()}, linked=set(linked)), index_base=s.index_base)
             return df.drop(*[f"linked_{n}" for n in linked])
 
         out = self.each(one) if self.groups() else self.records
-        rules: dict[str, dict] = {}
-        for s, _ in self.groups():
-            if s.aggregate:
-                rules.setdefault(s.index_base, {}).update({k: str(v) for k, v in s.aggregate.items()})
-        for base, r in rules.items():
+        kids: dict[str, list] = {}
+        for s, dirs in self.groups():  # each schema's rules hold for its own index records, over all records below them
+            r = {k: str(v) for k, v in s.aggregate.items()}
             own = {n: e for n, e in r.items() if not derive.names_in(derive.parse(e), "children")}
-            out = derive.rollup(out, own, index_base=base) if own else out
-            kids = {n: e for n, e in r.items() if n not in own}
-            out = derive.rollup_children(out, kids, index_base=base) if kids else out
+            where = F.lit(True) if dirs is None else F.col("dir").isin(*dirs)
+            out = derive.rollup(out, own, index_base=s.index_base, where=where) if own else out
+            if len(r) > len(own):
+                kids.setdefault(s.index_base, []).append((where, {n: e for n, e in r.items() if n not in own}))
+        for base, groups in kids.items():
+            out = derive.rollup_children(out, {}, index_base=base, groups=groups)
         return Vault(self.spark, out, self.effective, self.texts, self.listing)
 
     def query(self, *where: str, sort: str | None = None, limit: int = 0, select: list[str] | None = None, enums: dict | None = None) -> DataFrame:
@@ -81,8 +82,15 @@ class Vault:
     def count(self, *where: str) -> int:
         return query.where(self.records, *where).count()
 
+    def files(self) -> DataFrame:
+        """Paths that links may lead to: every file of the tree, records or not; a table's records."""
+        found = [(p,) for p, is_dir in self.listing if not is_dir]
+        return self.spark.createDataFrame(found, "path string") if found else self.records.select("path")
+
     def violations(self) -> DataFrame:
-        return self.each(validate.violations)
+        """Violations of each record's schema, and its links checked against the files."""
+        files = self.files()
+        return self.each(lambda df, s: validate.violations(df, s).unionByName(validate.link_checks(df, s.links, files, self.records)))
 
     def drift(self) -> DataFrame:
         return self.each(lambda df, s: validate.drift(df, [n for n, f in s.fields.items() if not f.match], index_base=s.index_base))
@@ -95,7 +103,7 @@ class Vault:
 
     def resolved_edges(self) -> DataFrame:
         fallback = any(s.links.basename_fallback for s in self.effective.values())
-        return graph.resolve(self.edges(), self.records.select("path"), basename_fallback=fallback)
+        return graph.resolve(self.edges(), self.files(), basename_fallback=fallback)
 
     def broken_links(self) -> DataFrame:
         return self.resolved_edges().filter("to is null")

@@ -56,6 +56,31 @@ def test_validation_and_proposals(vault):
     assert not [h for h in vault.health() if h["status"] == "fail"]
 
 
+TREE = {
+    ".stem": "version: 2\nroot: true\nscope: {match: '*.md'}\nschema: {estado: {type: string}}\n",
+    "tasks/.stem": "version: 2\nderive: {blockers: len(deps)}\nlinks: {blocks: {field: deps, value_field: estado}, checks: {anchors: true, encoding: true}}\n",
+    "tasks/A.md": "---\nestado: todo\n---\n[[blocks:../docs/B.md]] [[blocks:C]] [[../docs/B#part-one]] [[../docs/B#none]] [[pic.png]] [[no where]]\n", "tasks/C.md": "---\nestado: done\n---\n",
+    "tasks/pic.png": "", "docs/B.md": "---\nestado: done\n---\n# Part One\n", "docs/README.md": "---\nestado: x\n---\n",
+    "other/.stem": "version: 2\naggregate: {leak: len(descendants), inner: 'len(children)'}\nschema: {num: {type: sequence, prefix: A, digits: 2, match: {'T*': {prefix: T, digits: 3}}}}\n",
+    "other/README.md": "---\nestado: x\n---\n", "other/deep/README.md": "---\nestado: x\n---\n", "other/deep/T1.md": "---\nestado: y\nnum: T001\n---\n", "other/deep/T2.md": "---\nnum: A01\n---\n", "other/deep/X.md": "---\nnum: oops\n---\n",
+}
+
+
+def test_schemas_see_other_scopes_records_but_not_their_rules(spark, tmp_path):
+    for p, text in TREE.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(text)
+    v = Vault.from_tree(spark, str(tmp_path)).derived()
+    got = {r.path: r for r in query.select(v.records, ["path", "blockers", "leak", "inner"]).collect()}
+    assert got["tasks/A.md"].blockers == "2"  # one of them under another schema
+    assert got["docs/README.md"].leak is None and got["other/README.md"].leak == "3" and got["other/deep/README.md"].leak == "3"
+    assert got["other/README.md"].inner == "1" and got["other/deep/README.md"].inner == "0"
+    bad = {(r.path, r.rule, r.message) for r in v.violations().collect()}
+    assert {x for x in bad if x[0] == "tasks/A.md"} == {("tasks/A.md", "link_anchor", "none not found in docs/B.md"), ("tasks/A.md", "link_resolve", "no where"), ("tasks/A.md", "link_encoding", "no where")}
+    assert {x[0] for x in bad if x[1] == "sequence-format"} == {"other/deep/T2.md"}  # X.md isn't matched
+    assert {r.target for r in v.broken_links().collect()} == {"no where"}
+
+
 def test_analyze_runs_every_category(vault):
     for name, df in vault.analyze().items():
         assert not isinstance(df, str), (name, df)
