@@ -278,6 +278,21 @@ def test_licenses(docs):
     assert [(r.licenses, r.whole) for r in license_scan.find_licenses(df).collect()] == [(["MIT"], True), ([], False)]
 
 
+def test_license_cases(spark):
+    bsd = license_scan.BSD2_TEXT + license_scan.BSD3_CLAUSE + license_scan.BSD_DISCLAIMER
+    texts = [None, "", "SPDX-License-Identifier: MIT", "SPDX-License-Identifier: MIT", bsd, "x\n\n" + license_scan.ZLIB_TEXT, "permitted", "word\n" * 50_000 + "Licensed under CC0 1.0."]
+    df = spark.createDataFrame([(1, t, "a", "b", "c", "d") for t in texts], "id long, text string, digest string, license string, row string, whole string")
+    got = license_scan.find_licenses(df)
+    want = sorted([(None, "", False), ("", "", False), ("SPDX-License-Identifier: MIT", "MIT", True), ("SPDX-License-Identifier: MIT", "MIT", True), (bsd, "BSD-3-Clause", True), (texts[5], "", False), ("permitted", "", False), (texts[7], "CC0-1.0", False)], key=str)
+    assert sorted(((r.row.text, ",".join(r.licenses), r.whole) for r in got.collect()), key=str) == want
+    assert {(r.row.digest, r.row.whole) for r in got.collect()} == {("a", "d")}
+    given = license_scan.find_licenses(spark.createDataFrame([("Do what you like!",), ("else",), (None,)], "text string"), known=[("own", "do what you like")])
+    assert sorted((r.licenses, r.whole) for r in given.collect()) == [([], False), ([], False), (["own"], True)]
+    assert license_scan.find_licenses(df.limit(0)).count() == 0
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "NestedLoop" not in plan
+
+
 def test_language(docs):
     model = language_id.fit(docs.filter("lang is not null"))
     got = by_row(language_id.predict(docs, model), "lang_pred", "score")
