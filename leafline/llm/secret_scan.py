@@ -1,6 +1,7 @@
 """Secret scans by assignment-aware lexing.
 
-A text is lexed for what source code and configuration files assign: name and literal, name and other name, concatenated literals.
+A text is lexed for what source code and configuration files assign: name and literal, name and other name, concatenated literals,
+strings in triple quotes, block scalars, elements and entries that give a name and a value.
 Names carry their literals forward (constants are propagated in text order), and a literal scores by how sensitive the name is that
 it ends up in and by how much it looks like a credential. What reaches the threshold becomes a span of kind "lexed", beside the
 three base kinds, which always stay.
@@ -26,13 +27,19 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "lexed")
 
 NAME = r"[A-Za-z_$][A-Za-z0-9_$]*+(?:[.-][A-Za-z_$][A-Za-z0-9_$]*+)*+"
-STRING = r"\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
+TRIPLE = r'"{3}(?:[^"\\]|\\[\s\S]|"(?!""))*+"{3}|\'{3}(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*+\'{3}'
+STRING = TRIPLE + r"|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`"
 #: name = value, name: value, "name": "value", name => value, with a string, concatenated strings, another name or a bare word.
 PAIR = re.compile(
     rf"""(?<![A-Za-z0-9_$.-])["']?({NAME})["']?[ \t]*+(?::=|=>|=(?![=~])|:(?![:/]))[ \t]*+(?:({STRING})((?:[ \t]*\+[ \t]*(?:{STRING}))*+)|([^\s"'`,;(){{}}\[\]<>]++))"""
 )
 ONE_STRING = re.compile(STRING)
 JOINED = re.compile(rf"(?:[ \t]*\+[ \t]*(?:{STRING}|{NAME}))+")
+#: <name>literal</name>, and entries that give name and value side by side: <add key="name" value="literal"/>, {"name": .., "value": ..}.
+ELEMENT = re.compile(rf"<({NAME})(?:\s[^<>]*+)?>\s*+([^<>\s]++)\s*+</\1\s*+>")
+ENTRY = re.compile(rf"""(?<![A-Za-z0-9_$.-])["']?(?:key|name)["']?[ \t]*+[=:][ \t]*+["']?({NAME})["']?\s*+,?\s*+["']?value["']?[ \t]*+[=:][ \t]*+(?:({STRING})|([^\s"'`,;(){{}}\[\]<>]++))""")
+#: The head of a block scalar; the lines below that are indented deeper are its value.
+BLOCK = re.compile(rf"""^([ ]*+(?:-[ ]++)?)["']?({NAME})["']?:[ \t]*+[|>][-+0-9]{{0,2}}[ \t]*+$""", re.MULTILINE)
 OPERAND = re.compile(rf"(?:{STRING})|({NAME})")
 #: Parts of one literal that are told apart: constants that are joined to themselves again and again would double each time.
 MOST_PARTS = 64
@@ -41,7 +48,7 @@ SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.8, "apikey": 1.0, "credential": 0.9,
     "credentials": 0.9, "privatekey": 1.0, "secretkey": 1.0, "accesskey": 1.0, "signingkey": 0.9, "encryptionkey": 0.9, "authtoken": 1.0, "bearer": 0.8,
 }
-SENSITIVE_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("auth", "key"), ("client", "key"), ("account", "key"), ("connection", "string")}
+SENSITIVE_PAIRS = {("api", "key"), ("access", "key"), ("private", "key"), ("secret", "key"), ("signing", "key"), ("encryption", "key"), ("auth", "key"), ("client", "key"), ("account", "key"), ("connection", "string"), ("pass", "phrase")}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|undefined|changeme|example|placeholder|your[-_ ].*|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|\$[A-Z_]+|process\.env.*|os\.environ.*)$")
 WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 LEAST_SCORE = 0.6
@@ -81,25 +88,73 @@ def alone_on_line(text: str, m: re.Match) -> bool:
     return not text[begin : m.start()].strip(" \t-") and (not rest or rest.startswith("#")) and not m[4].isalpha()
 
 
+def literal(text: str, a: int, b: int) -> tuple[int, int, str]:
+    """(start, end, value) of what a string at a to b holds; one of several lines is read without the white space around its lines."""
+    q = 3 if b - a >= 6 and text[a : a + 3] in ('"' * 3, "'" * 3) else 1
+    value = text[a + q : b - q]
+    return a + q, b - q, value if q == 1 else of_lines(value.split("\n"))
+
+
+def of_lines(lines: list[str]) -> str:
+    """Lines as one value; those of several words, such as the frame of a key, say nothing of it unless there is no other."""
+    lines = [x.strip() for x in lines]
+    words = [x for x in lines if x and not any(map(str.isspace, x))]
+    return "".join(words) or " ".join(lines).strip()
+
+
+def blocks(text: str):
+    """(start, name, literal) of block scalars; a block isn't read again for blocks inside it."""
+    at = 0
+    while m := BLOCK.search(text, at):
+        deep, lines, begin, at = len(m[1]), [], None, m.end()
+        while at < len(text):
+            stop = text.find("\n", at + 1)
+            stop = len(text) if stop < 0 else stop
+            line = text[at + 1 : stop]
+            if line.strip():
+                indent = len(line) - len(line.lstrip(" "))
+                if indent <= deep:
+                    break
+                begin = at + 1 + indent if begin is None else begin
+                end = at + 1 + len(line.rstrip())
+                lines.append(line)
+            at = stop
+        if begin is not None:
+            yield m.start(), m[2], (begin, end, of_lines(lines))
+
+
+def assignments(text: str):
+    """(start, name, literals, name of a constant or None, end) of all that is assigned, by start."""
+    out = []
+    for m in PAIR.finditer(text):
+        if m[2] is not None:
+            at = m.start(2)
+            out.append((m.start(), m[1], [literal(text, at + p.start(), at + p.end()) for p in ONE_STRING.finditer(text[at : m.end(3)])], None, m.end()))
+        else:
+            bare = not m[4].startswith(("$", "&", "*", "@")) and ("=" in text[m.end(1) : m.start(4)] or alone_on_line(text, m))
+            out.append((m.start(), m[1], [(m.start(4), m.end(4), m[4])] if bare else [], m[4], m.end()))
+    if "</" in text:
+        out += [(m.start(), m[1], [(m.start(2), m.end(2), m[2])], None, len(text)) for m in ELEMENT.finditer(text)]
+    if "value" in text:
+        for m in ENTRY.finditer(text):
+            parts = [literal(text, *m.span(2))] if m[2] is not None else [(m.start(3), m.end(3), m[3])]
+            out.append((m.start(), m[1], parts, m[3], m.end()))
+    if "|" in text or ">" in text:
+        out += [(at, name, [part], None, len(text)) for at, name, part in blocks(text)]
+    return sorted(out, key=lambda x: x[0])
+
+
 def lexed_literals(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals by the most sensitive name they reach, in text order."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     held: dict[str, list[tuple[int, int, str]]] = {}
     best: dict[tuple[int, int], tuple[str, float]] = {}
-    for m in PAIR.finditer(text):
-        name, parts = m[1], []
-        if m[2] is not None:
-            at = m.start(2)
-            parts = [(at + p.start() + 1, at + p.end() - 1, p[0][1:-1]) for p in ONE_STRING.finditer(text[at : m.end(3)])]
-        elif m[4] in held:
-            parts = held[m[4]]
-        elif not m[4].startswith(("$", "&", "*", "@")) and ("=" in text[m.end(1) : m.start(4)] or alone_on_line(text, m)):
-            parts = [(m.start(4), m.end(4), m[4])]
-        if parts and (more := JOINED.match(text, m.end())):  # a constant and more: what is joined to it belongs to the literal
+    for _, name, parts, constant, end in assignments(text):
+        parts = held.get(constant, parts)
+        if parts and (more := JOINED.match(text, end)):  # a constant and more: what is joined to it belongs to the literal
             for p in OPERAND.finditer(more[0]):
-                at = m.end() + p.start()
-                parts = [*parts, *(held.get(p[1], []) if p[1] else [(at + 1, m.end() + p.end() - 1, p[0][1:-1])])]
+                parts = [*parts, *(held.get(p[1], []) if p[1] else [literal(text, end + p.start(), end + p.end())])]
                 if len(parts) > MOST_PARTS:
                     break
         if not parts:

@@ -2,6 +2,7 @@
 
 import math
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -577,6 +578,35 @@ def test_base_spans_against_a_plain_scan(spark):
     assert got == {"x": "assign:0:14", "y": ""} and secret_scan.find_secrets(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('pass_phrase = """\n  Zx9#kQ27vLp0\n"""', ["\n  Zx9#kQ27vLp0\n"]),
+        ("pwd = \'\'\'Zx9#kQ27vLp0\'\'\' + 'tail99'", ["Zx9#kQ27vLp0", "tail99"]),
+        ("private_key: |\n  -----BEGIN KEY-----\n  MIIEvQIBADANBg9kqhkiG9w0\n\n  BAQEFAASC0Kc\nother: 3\n", ["-----BEGIN KEY-----\n  MIIEvQIBADANBg9kqhkiG9w0\n\n  BAQEFAASC0Kc"]),
+        ("- credential: >-\n    Zx9#kQ27vLp0", ["Zx9#kQ27vLp0"]),
+        ("passphrase: |\nnext: Zx9#kQ27vLp0\n", []),
+        ('<add key="DbPwd" value="Zx9#kQ27vLp0"/>', ["Zx9#kQ27vLp0"]),
+        ("<passphrase> Zx9#kQ27vLp0 </passphrase><colour>Zx9#kQ27vLp1</colour>", ["Zx9#kQ27vLp0"]),
+        ('{"name": "DB_PWD", "value": "Zx9#kQ27vLp0"}, {"name": "DB_USER", "value": "Zx9#kQ27vLp1"}', ["Zx9#kQ27vLp0"]),
+        ("- name: DB_PWD\n  value: Zx9#kQ27vLp0\n", ["Zx9#kQ27vLp0"]),
+        ('P = "aB3$"\nPRIVATE_KEY = P + "27vLp0aa"', ["aB3$", "27vLp0aa"]),
+        ('pwd = """never closed Zx9#kQ27vLp0', []),
+    ],
+)
+def test_lexed_forms(text, found):
+    assert [text[a:b] for a, _, b in secret_scan.scan(text)[1]] == found
+    more = "é\n" * 3 + text
+    assert [more[a:b] for a, _, b in secret_scan.scan(more)[1]] == found
+
+
+def test_lexing_is_linear():
+    for piece in ('a="""b', "x: |\n", "<a ", "name: a, value: ", "secret: >\n  k\n", "  - k: |\n     x\n"):
+        start = time.monotonic()
+        secret_scan.scan(piece * 50_000)
+        assert time.monotonic() - start < 10, piece
+
+
 def test_pipeline_of_nothing(spark, docs, bench, tmp_path):
     docs.drop("row", "lines").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
