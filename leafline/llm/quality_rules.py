@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, ascii_lower, col, table
+from .common import SPACE_CLASS, ascii_lower, col, table, written
 
 SYMBOLS = "#*$%&|<>"
 
@@ -116,15 +116,25 @@ def ablation(ledger_: DataFrame, policy: tuple[str, int]) -> DataFrame:
     return each.groupBy("r.rule").agg(F.sum(F.when(has, F.col("n")).otherwise(0)).alias("failed"), F.sum(F.when(F.col("mask") == F.col("r.bit"), F.col("n")).otherwise(0)).alias("only"))
 
 
+def stored_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of documents as a table in the shared folder: every rule is evaluated once, policies and ablations read the table."""
+    return written(ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]), "ledger")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = ledger(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
-    return made.select(
+    """Every document's measurements, mask and verdicts by two policies; nulls, empty texts and repeats as ledger has them."""
+    return stored_ledger(spark, sf_dir).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         (~passes(("base", 1))).alias("base_failed"), passes(("default", 2)).alias("kept"), "mask", "n_lines", "n_distinct_words", "n_upper", "n_digits", "n_exclaims",
     )
 
 
-def oracle() -> str:
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy fails in documents, and what no other of its rules does; without rows an empty table."""
+    return ablation(stored_ledger(spark, sf_dir), ("default", 2))
+
+
+def ledger_sql() -> str:
     failures = " + ".join(f"CASE WHEN {f} THEN {1 << k} ELSE 0 END" for k, (_, f) in enumerate(RULES))
     chars = lambda marks: f"length(text) - length(translate(text, '{marks}', ''))"
     return rf"""
@@ -140,10 +150,24 @@ m AS (
     CAST({chars("0123456789")} AS BIGINT) AS n_digits, CAST({chars("!")} AS BIGINT) AS n_exclaims
   FROM t LEFT JOIN r USING (doc_id)),
 k AS (SELECT *, CAST({failures} AS BIGINT) AS mask FROM m)
+"""
+
+
+def oracle() -> str:
+    return ledger_sql() + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (mask & {mask_of(POLICIES[("base", 1)])}) <> 0 AS base_failed,
   (mask & {mask_of(POLICIES[("default", 2)])}) = 0 AS kept, mask, n_lines, n_distinct_words, n_upper, n_digits, n_exclaims FROM k
 """
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
-ORACLES = {"op9_quality_rules": oracle()}
+def ablation_oracle() -> str:
+    policy = POLICIES[("default", 2)]
+    rules = ", ".join(f"('{r}', {1 << BITS[r]})" for r in policy)
+    return ledger_sql() + f"""
+SELECT rule, CAST(count(*) FILTER (mask & bit <> 0) AS BIGINT) AS failed, CAST(count(*) FILTER (mask & {mask_of(policy)} = bit) AS BIGINT) AS "only"
+FROM k, (VALUES {rules}) AS r(rule, bit) GROUP BY rule
+"""
+
+
+QUERIES = {"op9_quality_rules": op9_quality_rules, "quality_ablation": quality_ablation}
+ORACLES = {"op9_quality_rules": oracle(), "quality_ablation": ablation_oracle()}
