@@ -58,17 +58,36 @@ def broken(e: DataFrame, nodes: DataFrame) -> DataFrame:
     return e.join(nodes.select(F.col("path").alias("target")), "target", "left_anti")
 
 
-def suggestions(broken_: DataFrame, names: DataFrame, *, most: int = 3, column: str = "target") -> DataFrame:
-    """source, target, rank and suggestion: at most the nearest names of each broken target, ties in lexical order.
+def near_names(wanted: DataFrame, names: DataFrame) -> DataFrame:
+    """word and name, each pair once, of names within max(2, a third of the length) edits of a word, case aside.
 
-    Distinct broken targets meet the names of like length only: distance is at least the difference in length, so an equi-join on
-    the length covers every name within the threshold.
+    So many edits leave one of a word's pieces whole, if it has a piece more than edits, and move it by no more places than there are
+    edits: pieces meet names by characters and place. Words too short for pieces of two characters meet names of like length, which
+    are short as well. Both are equi-joins, and only pairs near enough are shuffled again.
     """
+    low = F.lower("word")
+    edits = F.greatest(F.lit(2), F.floor(F.length("word") / 3)).cast("int")
+    wanted = wanted.select("word", low.alias("low"), edits.alias("edits"), F.length(low).alias("long")).distinct()
+    names = names.select("name", F.lower("name").alias("low_name"), F.length(F.lower("name")).alias("size")).distinct()
+    short = F.col("long") < 2 * (F.col("edits") + 1)
+    sizes = wanted.filter(short).withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.col("long") - F.col("edits")), F.col("long") + F.col("edits"))))
+    alike = sizes.join(names, "size").filter(close_enough(F.col("word"), F.col("name"))).select("word", "name")
+
+    begin = lambda i: F.floor(i * F.col("long") / (F.col("edits") + 1)).cast("int")
+    piece = lambda i: F.struct(begin(i).alias("at"), F.col("low").substr(begin(i) + 1, F.least(F.lit(3), begin(i + 1) - begin(i))).alias("gram"))
+    pieces = wanted.filter(~short).select("word", "long", "edits", F.explode(F.transform(F.sequence(F.lit(0), F.col("edits")), piece)).alias("p"))
+    pieces = pieces.select("word", "long", "edits", "p.gram", F.explode(F.sequence(F.greatest(F.lit(0), F.col("p.at") - F.col("edits")), F.col("p.at") + F.col("edits"))).alias("at"))
+    grams = lambda i: F.transform(F.array(F.lit(2), F.lit(3)), lambda n: F.struct(i.alias("at"), F.col("low_name").substr(i + 1, n).alias("gram"), n.alias("n")))
+    held = names.filter("size > 1").select("name", "size", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.col("size") - 2), grams))).alias("g"))
+    held = held.filter(F.col("g.at") + F.col("g.n") <= F.col("size")).select("name", "size", "g.at", "g.gram")
+    met = pieces.join(held, ["gram", "at"]).filter(F.abs(F.col("long") - F.col("size")) <= F.col("edits"))
+    return alike.unionByName(met.filter(close_enough(F.col("word"), F.col("name"))).select("word", "name").distinct())
+
+
+def suggestions(broken_: DataFrame, names: DataFrame, *, most: int = 3, column: str = "target") -> DataFrame:
+    """source, target, rank and suggestion: at most the nearest names of each broken target, each once, ties in lexical order."""
     wanted = broken_.select(F.col(column).alias("word")).distinct()
-    span = F.greatest(F.lit(2), F.floor(F.length("word") / 3)).cast("int")
-    wanted = wanted.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(0), F.length("word") - span), F.length("word") + span)))
-    near = wanted.join(names.select(F.col("name"), F.length("name").alias("size")), "size").filter(close_enough(F.col("word"), F.col("name")))
-    near = near.withColumn("distance", F.levenshtein(F.lower("word"), F.lower("name")))
+    near = near_names(wanted, names.select("name")).withColumn("distance", F.levenshtein(F.lower("word"), F.lower("name")))
     top = near.withColumn("rank", F.row_number().over(Window.partitionBy("word").orderBy("distance", "name"))).filter(F.col("rank") <= most)
     return broken_.join(top.select(F.col("word").alias(column), "rank", F.col("name").alias("suggestion"), "distance"), column)
 

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from leafline.functions.scalars import edit_distance
 from leafline.operators import derive, evolve, graph, infer, query, schema, sinks, validate
 from leafline.plans.vault import Vault
 from leafline.sources import markdown, records
@@ -147,3 +150,28 @@ def test_empty_table(spark):
     r = records.lift(df, F.col("id").cast("string"), ["id", "s"])
     assert query.where(r, 's == "x"').count() == 0 and infer.field_stats(r).count() == 0 and derive.tree_totals(r).count() == 0
     assert validate.violations(r, schema.Schema(fields={"s": schema.Field("string", required=True)})).count() == 0
+
+
+def test_suggestions_against_all_pairs(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abC") for _ in range(rng.randint(0, 14))) for _ in range(150)]
+
+    def edited(w):
+        for _ in range(rng.randint(0, len(w) // 3 + 1)):
+            i = rng.randint(0, len(w))
+            w = rng.choice([w[:i] + rng.choice("abc") + w[i:], w[:i] + w[i + 1 :], w[:i] + "x" + w[i + 1 :]])
+        return w
+
+    names = [edited(w) for w in words for _ in range(3)] + words[:20] + ["éa", "É" * 9, "ß" * 7]
+    words += ["é" * 9, "ß" * 7 + "a"]
+    bad = spark.createDataFrame([(w,) for w in words] + [(None,)], "target string")
+    held = spark.createDataFrame([(n,) for n in names] + [(None,)], "name string")
+    got = sorted((r.word, r.name) for r in graph.near_names(bad.select(F.col("target").alias("word")), held).collect())
+    want = sorted((w, n) for w in set(words) for n in set(names) if edit_distance(w, n) <= max(2, len(w) // 3))
+    assert got == want and len(want) > 1000
+    top = {}
+    for r in graph.suggestions(bad.distinct(), held).collect():
+        top.setdefault(r.target, []).append((r["rank"], r.suggestion))
+    for w in set(words):
+        best = sorted((edit_distance(w, n), n) for x, n in want if x == w)[:3]
+        assert sorted(top.get(w, [])) == [(i, n) for i, (_, n) in enumerate(best, 1)]
