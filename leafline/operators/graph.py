@@ -138,14 +138,15 @@ def cycle_members(e: DataFrame) -> DataFrame:
         if n == before:
             break
         before = n
-    closure = e.select("source", "target")
+    closure, size = e.select("source", "target"), before
     while True:  # path doubling: the closure's size bounds the rounds by the logarithm of the longest path
         longer = closure.join(closure.select(F.col("source").alias("target"), F.col("target").alias("end")), "target").select("source", F.col("end").alias("target"))
         closure_ = closure.unionByName(longer).distinct()
         closure_ = closure_.checkpoint() if durable else closure_.persist()
-        if closure_.count() == closure.count():
+        n = closure_.count()
+        if n == size:
             break
-        closure = closure_
+        closure, size = closure_, n
     return closure.filter("source = target").select(F.col("source").alias("node")).unionByName(loops).distinct()
 
 

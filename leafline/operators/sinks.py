@@ -44,9 +44,12 @@ def path_values(value, path: str):
 
 
 def text_table(df: DataFrame, most: int = SHOWN) -> str:
-    rows = [tuple("" if v is None else str(v) for v in r) for r in df.limit(most).collect()]
+    """Aligned columns; a last line says so if there are more than the rows shown."""
+    found = df.limit(most + 1).collect()
+    rows = [tuple("" if v is None else str(v) for v in r) for r in found[:most]]
     widths = [max(map(len, c)) for c in zip(df.columns, *rows)]
-    return "\n".join("  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in (tuple(df.columns), *rows))
+    lines = ["  ".join(v.ljust(w) for v, w in zip(r, widths)).rstrip() for r in (tuple(df.columns), *rows)]
+    return "\n".join([*lines, f"... more than {most} rows"] if len(found) > most else lines)
 
 
 def write_dot(edges: DataFrame, path: str) -> None:
@@ -59,9 +62,12 @@ def mermaid(edges: DataFrame) -> DataFrame:
 
 
 def tree_text(records: DataFrame, most: int = SHOWN) -> str:
-    """Directories with their totals and records, names in order."""
-    totals = {r["dir"]: r["total"] for r in tree_totals(records).limit(most).collect()}
-    paths = sorted(r["path"] for r in records.select("path").limit(most).collect())
+    """Directories with their totals and records, names in order; a last line says so if there are more than the records shown."""
+    shown = records.select("path", "ancestors").orderBy("path").limit(most + 1)
+    paths = [r["path"] for r in shown.collect()]
+    more, paths = len(paths) > most, paths[:most]
+    wanted = shown.select(F.explode("ancestors").alias("dir")).distinct()
+    totals = {r["dir"]: r["total"] for r in tree_totals(records).join(wanted, "dir", "left_semi").collect()}
     out = [f". [{totals.get('', 0)}]"]
     seen: set[str] = set()
     for p in paths:
@@ -72,4 +78,6 @@ def tree_text(records: DataFrame, most: int = SHOWN) -> str:
                 seen.add(d)
                 out.append("  " * n + f"{parts[n - 1]}/ [{totals.get(d, 0)}]")
         out.append("  " * len(parts) + parts[-1])
+    if more:
+        out.append(f"... more than {most} records")
     return "\n".join(out)

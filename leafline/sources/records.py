@@ -6,10 +6,12 @@ import os
 import posixpath
 import re
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import values
 from ..functions.scalars import glob_regex
@@ -28,6 +30,8 @@ EXTRACTED = T.StructType([
     T.StructField("body_sections", T.ArrayType(SECTION)), T.StructField("links", T.ArrayType(LINK)), T.StructField("errors", T.ArrayType(ERROR)),
 ])
 RECORD = ["path", "dir", "base", "depth", "ancestors", "type", "fm", "body", "sections", "body_sections", "links", "derived", "errors", "scan_ord"]
+#: Characters of files that a task passes on at once; a single file isn't split.
+FRAME_CHARS = 4 << 20
 EXTENSIONS = {".md": "markdown", ".markdown": "markdown"}
 
 
@@ -112,8 +116,15 @@ def scan_tree(spark: SparkSession, root: str, *, listing=None, keep=None, partit
     def run(frames):
         import pandas as pd
 
-        for n, path, content in read(frames):
-            yield pd.DataFrame([(n, path, content)], columns=["scan_ord", "path", "content"])
+        held, size = [], 0
+        for row in read(frames):
+            held.append(row)
+            size += len(row[2])
+            if size >= FRAME_CHARS:
+                yield pd.DataFrame(held, columns=["scan_ord", "path", "content"])
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame(held, columns=["scan_ord", "path", "content"])
 
     return from_contents(paths.mapInPandas(run, "scan_ord long, path string, content string"))
 
@@ -121,13 +132,15 @@ def scan_tree(spark: SparkSession, root: str, *, listing=None, keep=None, partit
 def from_contents(df: DataFrame) -> DataFrame:
     """Records from path, content and scan_ord: extraction is the one step that leaves the JVM."""
 
+    kind = to_arrow_type(EXTRACTED)
+
     def one(content: str | None):
         got = markdown.extract(content or "")
-        return got | {"fm": {k: values.value_of(v) for k, v in got["fm"].items()}}
+        return got | {"fm": [(k, values.value_of(v)) for k, v in got["fm"].items()], "sections": list(got["sections"].items())}
 
-    @F.udf(EXTRACTED, useArrow=False)
-    def extracted(content):
-        return one(content)
+    @F.arrow_udf(EXTRACTED)
+    def extracted(content: pa.Array) -> pa.Array:
+        return pa.array([one(c) for c in content.to_pylist()], kind)
 
     out = placed(df).withColumn("x", extracted("content"))
     if "scan_ord" not in df.columns:
@@ -152,9 +165,9 @@ def lift(df: DataFrame, path: Column | str, fields: dict[str, Column | str] | li
     c = lambda x: F.col(x) if isinstance(x, str) else x
     kinds = dict(df.select(*[c(x).alias(f"f{i}") for i, x in enumerate(fields.values())]).dtypes)
     entries = F.array(*[F.struct(F.lit(n).alias("key"), values.value(kinds[f"f{i}"], c(x)).alias("value")) for i, (n, x) in enumerate(fields.items())])
-    if not present_nulls:
+    if fields and not present_nulls:
         entries = F.filter(entries, lambda e: e["value"]["repr"] != "null")
-    out = df.select(c(path).alias("path"), F.map_from_entries(entries).alias("fm"), (F.lit("") if body is None else c(body)).alias("body"), (F.array().cast(T.ArrayType(LINK)) if links is None else links).alias("links"), (F.lit(None).cast("long") if order is None else order).alias("scan_ord"))
+    out = df.select(c(path).alias("path"), (F.map_from_entries(entries) if fields else no_values()).alias("fm"), (F.lit("") if body is None else c(body)).alias("body"), (F.array().cast(T.ArrayType(LINK)) if links is None else links).alias("links"), (F.lit(None).cast("long") if order is None else order).alias("scan_ord"))
     out = placed(out).withColumns({
         "type": F.lit(type_), "sections": F.create_map().cast("map<string,string>"), "body_sections": F.array().cast(T.ArrayType(SECTION)),
         "derived": no_values(), "errors": F.array().cast(T.ArrayType(ERROR)),

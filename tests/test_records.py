@@ -175,3 +175,12 @@ def test_suggestions_against_all_pairs(spark):
     for w in set(words):
         best = sorted((edit_distance(w, n), n) for x, n in want if x == w)[:3]
         assert sorted(top.get(w, [])) == [(i, n) for i, (_, n) in enumerate(best, 1)]
+
+
+def test_text_renderings_say_what_they_leave_out(spark):
+    df = spark.createDataFrame([(f"{d}/{i}",) for d in "ab" for i in range(3)], "path string")
+    recs = records.lift(df, "path", [])
+    assert sinks.tree_text(recs).split("\n")[:2] == [". [6]", "  a/ [3]"] and "more" not in sinks.tree_text(recs)
+    assert sinks.tree_text(recs, 4).split("\n") == [". [6]", "  a/ [3]", "    0", "    1", "    2", "  b/ [3]", "    0", "... more than 4 records"]
+    assert sinks.text_table(df.orderBy("path"), 2).split("\n") == ["path", "a/0", "a/1", "... more than 2 rows"]
+    assert sinks.text_table(df.limit(0)) == "path"
