@@ -3,8 +3,8 @@
 The attention model has one layer and one head. Subwords are those of a fixed public vocabulary; a subword's probability is that of
 its class, which the model predicts from the attended context, times its share of the class in the counts of the whole training
 corpus. Windows hold SCORED positions to be scored and OVERLAP before them as context, so that each token is scored once; all
-windows of a chunk are scored by batched matrix products with a causal mask. The model is trained where the windows are: each task
-goes over its own, and only sums of the changes travel.
+windows of a chunk are scored by batched matrix products with a causal mask. The model is trained on the windows of all
+training texts, where they are: each task goes over its own, and only sums of the changes travel.
 """
 
 from __future__ import annotations
@@ -26,15 +26,16 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 IDS, END = 50_257, 50_256
 WIDTH, CLASSES, SCORED, OVERLAP = 16, 64, 16, 8
 WINDOW = SCORED + OVERLAP
-#: One in so many windows of every training text is trained on; rounds of training, steps of all rounds at least, windows of a step.
-SHARE, ROUNDS, LEAST_STEPS, BATCH, RATE = 16, 2, 300, 256, 0.02
+#: One in so many windows of every training text is trained on: all of them. Rounds of training, steps of all rounds at least,
+#: windows of a step, and windows stored in a row.
+SHARE, ROUNDS, LEAST_STEPS, BATCH, RATE, PACK = 1, 2, 300, 256, 0.02, 32
 #: In a window: no subword. Groups of ids that what comes before an id is counted by. Slices that arrays are summed in. Changes of
 #: weights are summed as multiples of 1 / FIXED.
 NONE, BUCKETS, SLICES, FIXED = 65_535, 64, 64, float(1 << 32)
 #: Words whose counts are broadcast: the most frequent, 12 bytes each. The others are joined.
 FREQUENT = 1_000_000
 #: Words whose subwords a task keeps.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 
 
 def encoder(tokenizers: str):
@@ -79,37 +80,35 @@ class Subwords:
         self.clear()
 
     def clear(self):
-        self.rows: dict[int, int] = {}
-        self.flat, self.first, self.n = [np.zeros(0, np.int32)], [0], 0
-        self.table = None
+        self.hashes, self.first, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.int32)
 
-    def add(self, words: list[str]) -> None:
-        ids = np.array(self.encoder.encode_ordinary(" " + " ".join(words)), np.int32)
+    def add(self, words: str, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """First subword and number of subwords of words, each of which follows a space."""
+        ids = np.array(self.encoder.encode_ordinary(words), np.int32)
         begin = np.flatnonzero(self.starts[ids])
-        if len(begin) != len(words) or begin[:1].tolist() != [0]:  # other white space inside a word: one by one
-            each = [self.encoder.encode_ordinary(" " + w) for w in words]
+        if len(begin) != many or begin[:1].tolist() != [0]:  # other white space inside a word: one by one
+            each = [self.encoder.encode_ordinary(" " + w) for w in words[1:].split(" ")]
             ids = np.array([i for e in each for i in e], np.int32)
             begin = np.cumsum([0, *map(len, each)])[:-1]
-        self.flat.append(ids)
-        self.first += (self.n + np.append(begin[1:], len(ids))).tolist()
-        self.n += len(ids)
-        self.table = None
-
-    def of(self, hashes: list[int], word_at) -> tuple[np.ndarray, np.ndarray]:
-        """First subword and number of subwords of distinct words, in tables(); word_at(k) gives the k-th word."""
-        if len(self.rows) > KEPT_WORDS:
+        n = len(self.flat)
+        self.flat = np.concatenate((self.flat, ids))
+        return n + begin, np.diff(np.append(begin, len(ids)))
+
+    def of(self, hashes: np.ndarray, spaced) -> tuple[np.ndarray, np.ndarray]:
+        """First subword, in flat, and number of subwords of distinct words in the order of their hashes; spaced(new) gives the words
+        at these places, each after a space."""
+        if len(self.hashes) > KEPT_WORDS:
             self.clear()
-        rows = self.rows
-        new = [k for k, h in enumerate(hashes) if h not in rows]
-        if new:
-            for k in new:
-                rows[hashes[k]] = len(rows)
-            self.add([word_at(k) for k in new])
-        at = np.fromiter(map(rows.__getitem__, hashes), np.int64, len(hashes))
-        if self.table is None:
-            self.table = (np.concatenate(self.flat), np.array(self.first, np.int64))
-        first = self.table[1]
-        return first[at], first[at + 1] - first[at]
+        at = np.searchsorted(self.hashes, hashes)
+        lacks = (at == len(self.hashes)) | (np.append(self.hashes, hashes[:1])[at] != hashes)
+        new = np.flatnonzero(lacks)
+        if len(new):
+            first, sizes = self.add(spaced(new), len(new))
+            place = at[new]
+            self.hashes, self.first, self.sizes = (np.insert(x, place, y) for x, y in ((self.hashes, hashes[new]), (self.first, first), (self.sizes, sizes)))
+            at += np.cumsum(lacks) - lacks
+        return self.first[at], self.sizes[at]
 
 
 class Chunk:
@@ -123,17 +122,19 @@ class Chunk:
         self.last = np.array([x for _, _, x in parts])
         self.bounds = np.searchsorted(start, np.cumsum([0, *(len(p) + 1 for _, p, _ in parts)]))
         self.unique, at, self.inverse, self.counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        self.unique = self.unique.view(np.int64)
         if subwords is not None:
             gaps = np.append(np.flatnonzero(IS_SPACE[plain]), len(data))
             begin = start[at]
-            end = gaps[np.searchsorted(gaps, begin)].tolist()
-            begin = begin.tolist()
+            size = gaps[np.searchsorted(gaps, begin)] - begin
 
-            def word_at(k):
-                return data[begin[k] : end[k]].decode("utf-8", "replace")
+            def spaced(new):
+                sizes = size[new] + 1
+                text = plain[np.maximum(gathered(begin[new] - 1, sizes), 0)]
+                text[np.cumsum(sizes) - sizes] = ord(" ")
+                return text.tobytes().decode("utf-8", "replace")
 
-            self.first, self.sizes = subwords.of(self.unique.tolist(), word_at)
+            self.first, self.sizes = subwords.of(self.unique, spaced)
+        self.unique = self.unique.view(np.int64)
 
 
 def gathered(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -173,6 +174,7 @@ class Attention:
         self.log_share = np.zeros(IDS, np.float32)
         at = np.arange(WINDOW)
         self.mask = (at[None, :] <= at[OVERLAP:, None]).astype(np.float32)
+        self.space: dict[str, np.ndarray] = {}
 
     def group(self, counts: np.ndarray, before: np.ndarray) -> None:
         """Classes: subwords are halved again and again, each time by the main direction in which what comes before them differs, into
@@ -215,41 +217,79 @@ class Attention:
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "p": p}
 
     def gradients(self, ids, valid, classes, scored) -> tuple[float, np.ndarray, dict]:
-        """The loss in nats a target, the distinct ids, and gradients; that of E has a row for each of them."""
-        f = self.forward(ids, valid)
+        """The loss in nats a target, the distinct ids, and gradients; that of E has a row for each of them. The steps of forward, with
+        products over all places at once in arrays that are kept; logits are only shifted where a bound doesn't rule out an overflow.
+        Places that aren't valid get no gradient, as their weights are 0."""
+        d, m, scale = WIDTH, len(ids), np.float32(WIDTH**-0.5)
         n = max(1, int(scored.sum()))
-        rows, cols = np.indices(classes.shape)
-        p = f["p"][rows, cols, classes]
-        loss = float(-(np.log(p + 1e-30) * scored).sum() / n)
-        dz = f["p"]
-        dz[rows, cols, classes] -= 1
-        dz *= scored[:, :, None] / np.float32(n)
-        dh = dz @ self.Wc.T
-        dc = dh @ self.Wo.T
-        da = dc @ f["v"].transpose(0, 2, 1)
-        dv = f["a"].transpose(0, 2, 1) @ dc
-        ds = f["a"] * (da - (da * f["a"]).sum(2, keepdims=True)) * np.float32(WIDTH**-0.5)
-        dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
-        xq = f["x"][:, OVERLAP:]
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        dx = dk @ self.Wk.T + dv @ self.Wv.T
-        dx[:, OVERLAP:] += dh + dq @ self.Wq.T
-        dx *= valid[:, :, None]
-        by = np.argsort(ids, axis=None, kind="stable")
+        new, shape = self.held, (m, SCORED, d)
+        x = np.take(self.E, ids, axis=0, out=new("x", m, WINDOW, d), mode="clip")
+        x += self.P
+        xq = new("xq", *shape)
+        xq[:] = x[:, OVERLAP:]
+        Wkv, Wq, eb = np.hstack((self.Wk, self.Wv)), self.Wq * scale, np.exp(self.b)
+        kv = np.matmul(flat(x), Wkv, out=new("kv", m * WINDOW, 2 * d)).reshape(m, WINDOW, 2 * d)
+        k, v = kv[..., :d], kv[..., d:]
+        q = np.matmul(flat(xq), Wq, out=new("q", m * SCORED, d)).reshape(shape)
+        a = np.matmul(q, k.transpose(0, 2, 1), out=new("a", m, SCORED, WINDOW))
+        if max(a.max(), -a.min()) > 30:
+            np.clip(a, -30, 30, out=a)
+        np.exp(a, out=a)
+        a *= self.mask
+        if not valid.all():
+            a *= valid[:, None, :]
+        a *= (1 / (flat(a) @ np.ones(WINDOW, np.float32) + np.float32(1e-30))).reshape(m, SCORED, 1)
+        c = np.matmul(a, v, out=new("c", *shape))
+        h = np.matmul(flat(c), self.Wo, out=new("h", m * SCORED, d))
+        h += flat(xq)
+        e = np.matmul(h, self.Wc, out=new("e", m * SCORED, CLASSES))
+        if float(np.einsum("ij,ij->i", h, h).max()) * float((self.Wc * self.Wc).sum(0).max()) > 3600:
+            e -= e.max(1, keepdims=True)
+        np.exp(e, out=e)
+        total = e @ eb
+        rows, at, once = np.arange(len(e)), classes.ravel(), scored.ravel()
+        own = e[rows, at]
+        loss = float(-(np.log(own * eb[at] / total + 1e-30) * once).sum() / n)
+        e[rows, at] = own - total / eb[at]  # with the factors r and eb: the probabilities, less 1 at the class
+        r = (once / (total * np.float32(n)))[:, None]
+        dh = np.matmul(e, np.ascontiguousarray((self.Wc * eb).T), out=new("dh", m * SCORED, d))
+        dh *= r
+        blocks = m // 8 if m % 8 == 0 else m
+        by_block = lambda y, z: (y.reshape(blocks, -1, y.shape[-1]).transpose(0, 2, 1) @ z.reshape(blocks, -1, z.shape[-1])).sum(0)
+        h *= r
+        dWc, db = by_block(h, e) * eb, (r[:, 0] @ e) * eb
+        dc = np.matmul(dh, self.Wo.T, out=new("dc", m * SCORED, d)).reshape(shape)
+        dkv = new("dkv", m, WINDOW, 2 * d)
+        np.matmul(a.transpose(0, 2, 1), dc, out=dkv[..., d:])
+        ds = np.matmul(dc, v.transpose(0, 2, 1), out=new("ds", m, SCORED, WINDOW))
+        ds -= np.einsum("ijk,ijk->ij", dc, c)[..., None]
+        ds *= a
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
+        dq = np.matmul(ds, k, out=new("dq", *shape))
+        dWq, dWkv, dWo = by_block(xq, dq) * scale, by_block(x, dkv), by_block(c, dh)
+        dx = np.matmul(flat(dkv), Wkv.T, out=new("dx", m * WINDOW, d)).reshape(x.shape)
+        dh += np.matmul(flat(dq), Wq.T, out=flat(q))
+        dx[:, OVERLAP:] += dh.reshape(shape)
+        by = np.argsort(ids.astype(np.uint16), axis=None, kind="stable")
         sorted_ = ids.ravel()[by]
         first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
-        return loss, sorted_[first], {
-            "E": np.add.reduceat(flat(dx)[by], first), "P": dx.sum(0), "Wq": flat(xq).T @ flat(dq), "Wk": flat(f["x"]).T @ flat(dk), "Wv": flat(f["x"]).T @ flat(dv),
-            "Wo": flat(f["c"]).T @ flat(dh), "Wc": flat(f["h"]).T @ flat(dz), "b": flat(dz).sum(0),
-        }
+        dE = np.add.reduceat(np.take(flat(dx), by, axis=0, out=flat(x), mode="clip"), first)
+        return loss, sorted_[first], {"E": dE, "P": dx.sum(0), "Wq": dWq, "Wk": dWkv[:, :d], "Wv": dWkv[:, d:], "Wo": dWo, "Wc": dWc, "b": db}
+
+    def held(self, name: str, *shape: int) -> np.ndarray:
+        """An array for a step's results, the same in the next step of this shape."""
+        got = self.space.get(name)
+        if got is None or got.shape != shape:
+            got = self.space[name] = np.empty(shape, np.float32)
+        return got
 
     def fused(self) -> Attention:
-        """With the projections of every id and place worked out once; the values have a column of ones, which adds up the weights."""
+        """With the projections of every id and place worked out once."""
         scale = np.float32(WIDTH**-0.5)
         f32 = lambda *x: np.ascontiguousarray(np.hstack(x), dtype=np.float32)
-        one = lambda y, v: np.full((len(y), 1), v, np.float32)
         self.EK, self.PK = f32(self.E @ self.Wk), f32(self.P @ self.Wk)
-        self.EV, self.PV = (f32(y @ self.Wv @ self.Wo, one(y, v)) for y, v in ((self.E, 1.0), (self.P, 0.0)))
+        self.EV, self.PV = f32(self.E @ self.Wv @ self.Wo), f32(self.P @ self.Wv @ self.Wo)
         self.EX = f32(self.E, self.E @ self.Wq * scale)
         self.PX = f32(self.P, self.P @ self.Wq * scale)[OVERLAP:]
         self.eb = np.exp(self.b)
@@ -257,33 +297,34 @@ class Attention:
         norm = lambda y, z: float(np.sqrt((y * y).sum(1)).max() + np.sqrt((z * z).sum(1)).max())
         d = WIDTH
         self.most_s = norm(self.EX[:, d:], self.PX[:, d:]) * norm(self.EK, self.PK)
-        self.most_z = (norm(self.E, self.P) + norm(self.EV[:, :d], self.PV[:, :d])) * float(np.sqrt((self.Wc**2).sum(0)).max())
+        self.most_z = (norm(self.E, self.P) + norm(self.EV, self.PV)) * float(np.sqrt((self.Wc**2).sum(0)).max())
         return self
 
-    def log_probabilities(self, ids: np.ndarray, valid: np.ndarray, targets: np.ndarray, step: int = 512) -> np.ndarray:
+    def log_probabilities(self, ids: np.ndarray, valid: np.ndarray, targets: np.ndarray, step: int = 256) -> np.ndarray:
         """Natural logarithms for the last SCORED places of each window. Scores are only clipped where their bounds don't rule out that
         an exponential overflows."""
         out = np.zeros((len(ids), SCORED), np.float32)
         d = WIDTH
         for a in range(0, len(ids), step):
             i, ok, t = ids[a : a + step], valid[a : a + step], targets[a : a + step].ravel()
-            k, v = self.EK[i], self.EV[i]
+            m = len(i)
+            k = np.take(self.EK, i, axis=0, out=self.held("k", m, WINDOW, d), mode="clip")
+            v = np.take(self.EV, i, axis=0, out=self.held("v", m, WINDOW, d), mode="clip")
             k += self.PK
             v += self.PV
-            if not ok.all():
-                v *= ok[:, :, None]
-            x = self.EX[i[:, OVERLAP:]]
+            x = np.take(self.EX, i[:, OVERLAP:], axis=0, out=self.held("x", m, SCORED, 2 * d), mode="clip")
             x += self.PX
-            s = x[:, :, d:] @ k.transpose(0, 2, 1)
+            s = np.matmul(x[:, :, d:], k.transpose(0, 2, 1), out=self.held("s", m, SCORED, WINDOW))
             if self.most_s > 60:
                 np.clip(s, -30, 30, out=s)
             np.exp(s, out=s)
             s *= self.mask
-            c = s @ v
-            h = c[:, :, :d]
-            h /= c[:, :, d:] + np.float32(1e-30)
+            if not ok.all():
+                s *= ok[:, None, :]
+            h = np.matmul(s, v, out=self.held("h", m, SCORED, d))
+            h *= (1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(1e-30))).reshape(m, SCORED, 1)
             h += x[:, :, :d]
-            z = h.reshape(-1, d) @ self.Wc
+            z = np.matmul(h.reshape(-1, d), self.Wc, out=self.held("z", m * SCORED, CLASSES))
             if self.most_z > 60:
                 z -= z.max(1, keepdims=True)
             own = np.take_along_axis(z, self.class_of[t].astype(np.int64)[:, None], 1)[:, 0]
@@ -327,10 +368,11 @@ class Learner:
 
 def corpus_pass(docs: DataFrame, text_col: str, tokenizers: str, share: int) -> DataFrame:
     """One pass over whole texts. kind ("w" word, "s" subword, "d" texts), key (a word's hash or a subword's id) and n are a task's
-    counts; kind "x" has in w the windows to train on: of every text one of share windows, picked by hash."""
+    counts; kind "x" has in w n windows to train on, of every text one in share: of one, all. A task numbers its "x" rows by key."""
 
     def run(batches):
         subwords = Subwords(tokenizers)
+        packs = 0
         own = np.zeros(IDS, np.int64)
         texts_seen = 0
         words: list[tuple[np.ndarray, np.ndarray]] = []
@@ -350,16 +392,19 @@ def corpus_pass(docs: DataFrame, text_col: str, tokenizers: str, share: int) ->
         for b in few_rows(batches):
             texts = b.column(0).to_pylist()
             texts_seen += len(texts)
+            carried: dict[int, np.ndarray] = {}
             for parts in pieces_of(texts):
                 c = Chunk(parts, subwords)
                 if len(c.unique):
                     words.append((c.unique, c.counts))
                     held += len(c.unique)
-                    ids = subwords.table[0][gathered(c.first, c.sizes)]
+                    ids = subwords.flat[gathered(c.first, c.sizes)]
                     own += np.bincount(ids, np.repeat(c.counts, c.sizes), IDS).astype(np.int64)
-                picked = picked_windows(parts, c, subwords, share)
+                picked = picked_windows(parts, c, subwords, share, carried)
                 if len(picked):
-                    yield rows("x", np.zeros(len(picked), np.int64), np.zeros(len(picked), np.int64), [x.tobytes() for x in picked])
+                    packed = [picked[a : a + PACK] for a in range(0, len(picked), PACK)]
+                    yield rows("x", packs + np.arange(len(packed)), np.array([len(x) for x in packed]), [x.tobytes() for x in packed])
+                    packs += len(packed)
                 if held > 1_000_000:
                     yield flush()
                     words, held = [], 0
@@ -374,24 +419,36 @@ def corpus_pass(docs: DataFrame, text_col: str, tokenizers: str, share: int) ->
     return written(found, "counts")
 
 
-def picked_windows(parts, c: Chunk, subwords: Subwords, share: int) -> np.ndarray:
-    """WINDOW inputs and one target more of one in share windows of a chunk's texts; NONE before a text and after it."""
-    flat = subwords.table[0] if len(c.unique) else np.zeros(0, np.int32)
-    size = c.sizes[c.inverse] if len(c.unique) else np.zeros(0, np.int64)
-    stream = flat[gathered(c.first[c.inverse], size)] if len(c.unique) else flat
-    edge = np.concatenate(([0], np.cumsum(size)))[c.bounds]
-    out = []
-    for k, (_, data, last) in enumerate(parts):
-        ids = np.concatenate(([END], stream[edge[k] : edge[k + 1]], [END] if last else [])).astype(np.uint16)
-        n = -(-(len(ids) - 1) // SCORED)
+def picked_windows(parts, c: Chunk, subwords: Subwords, share: int, carried: dict[int, np.ndarray] | None = None) -> np.ndarray:
+    """WINDOW inputs and one target more of one in share windows of a chunk's texts, drawn by hash; of one, all of them, so that each
+    token is a target once. NONE before a text and after it. What a text's later pieces need of this one is left in carried."""
+    carried = {} if carried is None else carried
+    size = c.sizes[c.inverse]
+    stream = subwords.flat[gathered(c.first[c.inverse], size)].astype(np.uint16)
+    edge = np.concatenate(([0], np.cumsum(size)))[c.bounds].tolist()
+    before, end, pad = np.array([NONE] * OVERLAP + [END], np.uint16), np.array([END], np.uint16), np.full(SCORED, NONE, np.uint16)
+    runs, n = [], []
+    for k, (i, _, last) in enumerate(parts):
+        ids = [carried.pop(i, before), stream[edge[k] : edge[k + 1]]]
+        targets = len(ids[0]) + len(ids[1]) + last - OVERLAP - 1
+        if last:
+            n.append(-(-targets // SCORED))
+            runs += [*ids, end, pad[: n[-1] * SCORED - targets]]
+        else:  # the rest of the text takes up at a window's border, with the context that the window has
+            n.append(targets // SCORED)
+            whole = np.concatenate(ids)
+            carried[i] = whole[n[-1] * SCORED :]
+            runs.append(whole[: n[-1] * SCORED + OVERLAP + 1])
+    of = np.repeat(np.arange(len(n)), n)
+    w = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    start = (np.cumsum(n) - n)[of] * SCORED + of * (OVERLAP + 1) + w * SCORED
+    if share > 1:
         with np.errstate(over="ignore"):
-            draw = mixed(np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(zlib.crc32(data)))
-        for w in np.flatnonzero(draw % np.uint64(share) == 0).tolist():
-            a, z = w * SCORED - OVERLAP, w * SCORED + SCORED + 1
-            row = np.full(WINDOW + 1, NONE, np.uint16)
-            row[max(a, 0) - a : min(z, len(ids)) - a] = ids[max(a, 0) : z]
-            out.append(row)
-    return np.array(out, np.uint16).reshape(-1, WINDOW + 1)
+            draw = mixed(w.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.array([zlib.crc32(data) for _, data, _ in parts], np.uint64)[of])
+        start = start[draw % np.uint64(share) == 0]
+    if not len(start):
+        return np.zeros((0, WINDOW + 1), np.uint16)
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate(runs), WINDOW + 1)[start]
 
 
 def unpacked(batch) -> np.ndarray:
@@ -420,24 +477,26 @@ def preceding(sample: DataFrame) -> np.ndarray:
     """How often each id follows each of BUCKETS groups of ids, over all windows."""
 
     def run(batches):
-        whole = np.zeros(IDS * BUCKETS, np.int32)
+        whole = np.zeros(IDS * BUCKETS, np.int64)
         for b in batches:
-            rows = unpacked(b).astype(np.int64)
-            x, y = rows[:, OVERLAP:-1].ravel(), rows[:, OVERLAP + 1 :].ravel()
-            both = (x != NONE) & (y != NONE)
-            at = y[both] * BUCKETS + (x[both] * 2654435761 >> 7) % BUCKETS
-            u, n = np.unique(at, return_counts=True)
-            whole[u] += n.astype(np.int32)
+            packed = unpacked(b)
+            for a in range(0, len(packed), 8192):
+                rows = packed[a : a + 8192].astype(np.int64)
+                x, y = rows[:, OVERLAP:-1].ravel(), rows[:, OVERLAP + 1 :].ravel()
+                both = (x != NONE) & (y != NONE)
+                np.add.at(whole, y[both] * BUCKETS + (x[both] * 2654435761 >> 7) % BUCKETS, 1)
         yield from in_slices(whole.reshape(IDS, BUCKETS))
 
-    return from_slices(summed(sample.mapInArrow(run, "slice int, payload binary"), SLICES, np.int32), BUCKETS, np.int32)
+    return from_slices(summed(sample.select("w").mapInArrow(run, "slice int, payload binary"), SLICES, np.int64), BUCKETS, np.int64)
 
 
 def train(sample: DataFrame, model: Attention, n: int, rounds: int, least_steps: int) -> Attention:
-    """Rounds over all windows: each task goes on from the common weights with its own windows, and the tasks' changes are averaged,
-    those of an embedding over the tasks that saw its id. Few windows are gone over more than once, for least_steps steps in all.
-    Changes are summed as whole numbers, so that their order doesn't matter."""
-    epochs = max(1, min(40, -(-least_steps * BATCH // max(1, rounds * n))))
+    """Goes over all windows: each task goes on from the common weights with its own windows, and the tasks' changes are averaged,
+    those of an embedding over the tasks that saw its id. The rounds share the windows out, so that each is gone over once; where they
+    are too few for least_steps steps, each round goes over all of them, as often as makes that many steps in all. Changes are summed
+    as whole numbers, so that their order doesn't matter."""
+    enough = n >= least_steps * BATCH
+    epochs = 1 if enough else max(1, min(40, -(-least_steps * BATCH // max(1, rounds * n))))
     small = {k: getattr(model, k) for k in model.SMALL}
     sizes = np.cumsum([0, *(v.size for v in small.values())])
 
@@ -454,8 +513,9 @@ def train(sample: DataFrame, model: Attention, n: int, rounds: int, least_steps:
                 rows = unpacked(b)
                 if epochs > 1:
                     kept.append(rows)
-                for a in range(0, len(rows), BATCH):
-                    learner.step(rows[a : a + BATCH])
+                steps = -(-len(rows) // BATCH)
+                for a in range(steps):  # neighbours are of one text, so a step takes windows from all over the batch
+                    learner.step(rows[a::steps])
             again = np.concatenate(kept) if kept else None
             for e in range(1, epochs if kept else 1):
                 order = np.random.default_rng(e).permutation(len(again))
@@ -469,9 +529,10 @@ def train(sample: DataFrame, model: Attention, n: int, rounds: int, least_steps:
                 rest = np.concatenate([np.rint((getattr(m, name) - old[name]) * FIXED).astype(np.int64).ravel() for name in m.SMALL] + [[1]]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([SLICES], pa.int32()), pa.array([rest.tobytes()], pa.binary())], ["slice", "payload"])
 
-        found = summed(sample.mapInArrow(run, "slice int, payload binary"), SLICES + 1, np.int64)
+        part = sample.filter(F.col("key") % rounds == k) if enough else sample
+        found = summed(part.select("w").mapInArrow(run, "slice int, payload binary"), SLICES + 1, np.int64)
         if SLICES not in found:
-            break
+            continue
         change = from_slices(found, WIDTH + 1, np.int64)
         model.E = (model.E + change[:, :-1] / FIXED / np.maximum(change[:, -1:], 1)).astype(np.float32)
         rest = found[SLICES]
@@ -488,8 +549,9 @@ class Scorer:
 
 
 def fit(training: DataFrame, *, text_col="text", tokenizers: str = TOKENIZERS, share=SHARE, frequent=FREQUENT, rounds=ROUNDS, least_steps=LEAST_STEPS):
-    """(counts of all training words as a table, N, V, texts, scorer). Counts cover all rows; the attention model learns from one of
-    share windows of every text, whatever the size of the corpus. An empty table leaves the model as it begins."""
+    """(counts of all training words as a table, N, V, texts, scorer). Counts and the attention model learn from every token of all
+    rows; a caller may let the model's weights and classes learn from one in share windows only. An empty table leaves the model as it
+    begins."""
     found = corpus_pass(training, text_col, tokenizers, share)
     counts = written(found.filter("kind <> 'x'").groupBy("kind", "key").agg(F.sum("n").alias("n")), "totals")
     words = counts.filter("kind = 'w'").select(F.col("key").alias("h"), "n")
@@ -509,12 +571,11 @@ def fit(training: DataFrame, *, text_col="text", tokenizers: str = TOKENIZERS, s
     ids = counts.filter("kind = 's'").select("key", "n").toArrow()  # the subword ids at most
     own = np.zeros(IDS)
     own[ids.column("key").to_numpy()] = ids.column("n").to_numpy()
-    sample = written(found.filter("kind = 'x'").select("w"), "windows")
-    removed(found)
+    trained = found.filter("kind = 'x'")
     model = Attention()
-    model.group(own, preceding(sample))
-    train(sample, model, sample.count(), rounds, least_steps)
-    removed(sample)
+    model.group(own, preceding(trained))
+    train(trained, model, trained.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], rounds, least_steps)
+    removed(found)
     return words, int(total + docs), int(distinct + (docs > 0)), int(docs), Scorer(hashes[order], times[order], model)
 
 
@@ -550,7 +611,6 @@ def score(docs: DataFrame, fitted, *, text_col="text", tokenizers: str = TOKENIZ
             carried: dict[int, tuple[np.ndarray, int]] = {}
             for parts in pieces_of(texts):
                 c = Chunk(parts, subwords)
-                flat, first_row = subwords.table if subwords.table is not None else (np.zeros(0, np.int32), None)
                 if len(c.unique):
                     at = np.searchsorted(s.hashes, c.unique)
                     at[at == len(s.hashes)] = 0
@@ -558,7 +618,7 @@ def score(docs: DataFrame, fitted, *, text_col="text", tokenizers: str = TOKENIZ
                     count = np.where(hit, s.counts[at] if len(s.hashes) else 0, 0)
                     value = np.log10(count + 1.0)
                     size = c.sizes[c.inverse]
-                    stream = flat[gathered(c.first[c.inverse], size)]
+                    stream = subwords.flat[gathered(c.first[c.inverse], size)]
                     edge = np.concatenate(([0], np.cumsum(size)))[c.bounds]
                 else:
                     stream, edge = np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64)

@@ -456,6 +456,19 @@ def test_training_grows_with_the_input(spark):
     assert 6 < sizes[1] / sizes[0] < 15
 
 
+def test_training_takes_every_token(spark, monkeypatch):
+    """Each subword and end of every training text, also of those in several pieces, is a target once."""
+    monkeypatch.setattr(lm_scoring, "PIECE", 500)
+    texts = [None, "", "one", prose(1, 40, ENGLISH), " ".join(prose(k, 200, ENGLISH + GERMAN) for k in range(2, 8))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    found = lm_scoring.corpus_pass(docs, "text", lm_scoring.TOKENIZERS, lm_scoring.SHARE)
+    counts = {r.key: r.n for r in found.filter("kind = 's'").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    windows = found.filter("kind = 'x'")
+    targets = lm_scoring.unpacked(windows.select("w").toArrow())[:, lm_scoring.OVERLAP + 1 :].ravel()
+    assert Counter(targets[targets != lm_scoring.NONE].tolist()) == counts
+    assert lm_scoring.preceding(windows).sum() == sum(counts.values())
+
+
 def test_pipeline(spark, docs, bench, tmp_path):
     docs.drop("row", "lines").write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
