@@ -9,7 +9,7 @@ training texts, where they are: each task goes over its own, and only sums of th
 
 from __future__ import annotations
 
-import base64
+import binascii
 import zlib
 
 import numpy as np
@@ -38,11 +38,15 @@ FREQUENT = 1_000_000
 KEPT_WORDS = 400_000
 
 
-def encoder(tokenizers: str):
+def vocabulary(tokenizers: str) -> dict[bytes, int]:
+    with open(f"{tokenizers.rstrip('/')}/{VOCABULARY}", "rb") as f:
+        fields = f.read().split()
+    return dict(zip(map(binascii.a2b_base64, fields[::2]), map(int, fields[1::2])))
+
+
+def encoder(ranks: dict[bytes, int]):
     import tiktoken
 
-    with open(f"{tokenizers.rstrip('/')}/{VOCABULARY}", "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
     return tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -73,10 +77,10 @@ class Subwords:
     """Subword ids of words, kept by the words' hashes."""
 
     def __init__(self, tokenizers: str):
-        self.encoder = encoder(tokenizers)
+        ranks = vocabulary(tokenizers)
+        self.encoder = encoder(ranks)
         self.starts = np.zeros(IDS, bool)
-        for i in range(END):
-            self.starts[i] = self.encoder.decode_single_token_bytes(i)[:1] == b" "
+        self.starts[[i for piece, i in ranks.items() if piece[:1] == b" "]] = True
         self.clear()
 
     def clear(self):
@@ -121,15 +125,21 @@ class Chunk:
         self.owner = np.array([i for i, _, _ in parts])
         self.last = np.array([x for _, _, x in parts])
         self.bounds = np.searchsorted(start, np.cumsum([0, *(len(p) + 1 for _, p, _ in parts)]))
-        self.unique, at, self.inverse, self.counts = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        order = sorting(h)
+        h = h[order]
+        first = firsts(h)
+        at = order[first]
+        self.unique, self.counts = h[first], np.diff(np.append(first, len(h)))
+        self.inverse = np.empty(len(h), np.int64)
+        self.inverse[order] = np.repeat(np.arange(len(first)), self.counts)
         if subwords is not None:
-            gaps = np.append(np.flatnonzero(IS_SPACE[plain]), len(data))
-            begin = start[at]
-            size = gaps[np.searchsorted(gaps, begin)] - begin
+            space = np.append(IS_SPACE[plain], True)
+            end = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # of each word, as start has their beginnings
 
             def spaced(new):
-                sizes = size[new] + 1
-                text = plain[np.maximum(gathered(begin[new] - 1, sizes), 0)]
+                begin = start[at[new]]
+                sizes = end[at[new]] - begin + 1
+                text = plain[np.maximum(gathered(begin - 1, sizes), 0)]
                 text[np.cumsum(sizes) - sizes] = ord(" ")
                 return text.tobytes().decode("utf-8", "replace")
 
@@ -137,6 +147,20 @@ class Chunk:
         self.unique = self.unique.view(np.int64)
 
 
+def sorting(h: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit hashes. Plain numbers sort much faster than an order is found, so the places stand in for the low bits
+    of the hashes; where different hashes share the others and come out of order, the whole hashes are sorted."""
+    low = np.uint64((1 << len(h).bit_length()) - 1)
+    order = (np.sort(h & ~low | np.arange(len(h), dtype=np.uint64)) & low).astype(np.int64)
+    got = h[order]
+    return order if (got[1:] >= got[:-1]).all() else np.argsort(h, kind="stable")
+
+
+def firsts(values: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values begin."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(values)), bool), values[1:] != values[:-1])))
+
+
 def gathered(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The ranges first..first+size, one after the other."""
     end = np.cumsum(sizes)
@@ -217,65 +241,65 @@ class Attention:
         return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "p": p}
 
     def gradients(self, ids, valid, classes, scored) -> tuple[float, np.ndarray, dict]:
-        """The loss in nats a target, the distinct ids, and gradients; that of E has a row for each of them. The steps of forward, with
-        products over all places at once in arrays that are kept; logits are only shifted where a bound doesn't rule out an overflow.
-        Places that aren't valid get no gradient, as their weights are 0."""
+        """The loss in nats a target, the distinct ids, and gradients; that of E has a row for each of them. The function of forward, but
+        the projections of queries and keys, and of values and output, are multiplied first, so that only the scored places are
+        projected. Products go over all places at once in arrays that are kept; logits are only shifted where a bound doesn't rule
+        out an overflow. Places that aren't valid get no gradient, as their weights are 0."""
         d, m, scale = WIDTH, len(ids), np.float32(WIDTH**-0.5)
         n = max(1, int(scored.sum()))
         flat = lambda y: y.reshape(-1, y.shape[-1])
         new, shape = self.held, (m, SCORED, d)
+        Wqk, Wvo, eb, ones = self.Wq @ self.Wk.T * scale, self.Wv @ self.Wo, np.exp(self.b), np.ones(WINDOW, np.float32)
         x = np.take(self.E, ids, axis=0, out=new("x", m, WINDOW, d), mode="clip")
         x += self.P
+        xt = x.transpose(0, 2, 1)
         xq = new("xq", *shape)
         xq[:] = x[:, OVERLAP:]
-        Wkv, Wq, eb = np.hstack((self.Wk, self.Wv)), self.Wq * scale, np.exp(self.b)
-        kv = np.matmul(flat(x), Wkv, out=new("kv", m * WINDOW, 2 * d)).reshape(m, WINDOW, 2 * d)
-        k, v = kv[..., :d], kv[..., d:]
-        q = np.matmul(flat(xq), Wq, out=new("q", m * SCORED, d)).reshape(shape)
-        a = np.matmul(q, k.transpose(0, 2, 1), out=new("a", m, SCORED, WINDOW))
+        q = np.matmul(flat(xq), Wqk, out=new("q", m * SCORED, d)).reshape(shape)
+        a = np.matmul(q, xt, out=new("a", m, SCORED, WINDOW))
         if max(a.max(), -a.min()) > 30:
             np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
         a *= self.mask
-        if not valid.all():
-            a *= valid[:, None, :]
-        a *= (1 / (flat(a) @ np.ones(WINDOW, np.float32) + np.float32(1e-30))).reshape(m, SCORED, 1)
-        c = np.matmul(a, v, out=new("c", *shape))
-        h = np.matmul(flat(c), self.Wo, out=new("h", m * SCORED, d))
+        part = np.flatnonzero(~valid.all(1))
+        a[part] *= valid[part, None, :]
+        whole = flat(a)
+        whole *= (1 / (whole @ ones + np.float32(1e-30)))[:, None]
+        u = np.matmul(a, x, out=new("u", *shape))
+        h = np.matmul(flat(u), Wvo, out=new("h", m * SCORED, d))
         h += flat(xq)
         e = np.matmul(h, self.Wc, out=new("e", m * SCORED, CLASSES))
-        if float(np.einsum("ij,ij->i", h, h).max()) * float((self.Wc * self.Wc).sum(0).max()) > 3600:
+        if float(((h * h) @ ones[:d]).max()) * float((self.Wc * self.Wc).sum(0).max()) > 3600:
             e -= e.max(1, keepdims=True)
         np.exp(e, out=e)
         total = e @ eb
-        rows, at, once = np.arange(len(e)), classes.ravel(), scored.ravel()
-        own = e[rows, at]
-        loss = float(-(np.log(own * eb[at] / total + 1e-30) * once).sum() / n)
-        e[rows, at] = own - total / eb[at]  # with the factors r and eb: the probabilities, less 1 at the class
+        once, at = scored.ravel(), classes.ravel()
+        cell = np.arange(len(e)) * CLASSES + at
+        own, share = e.ravel()[cell], eb[at]
+        loss = float(-(np.log(own * share / total + 1e-30) * once).sum() / n)
+        e.ravel()[cell] = own - total / share  # with the factors r and eb: the probabilities, less 1 at the class
         r = (once / (total * np.float32(n)))[:, None]
-        dh = np.matmul(e, np.ascontiguousarray((self.Wc * eb).T), out=new("dh", m * SCORED, d))
+        dh = np.matmul(e, (self.Wc * eb).T, out=new("dh", m * SCORED, d))
         dh *= r
-        blocks = m // 8 if m % 8 == 0 else m
-        by_block = lambda y, z: (y.reshape(blocks, -1, y.shape[-1]).transpose(0, 2, 1) @ z.reshape(blocks, -1, z.shape[-1])).sum(0)
         h *= r
-        dWc, db = by_block(h, e) * eb, (r[:, 0] @ e) * eb
-        dc = np.matmul(dh, self.Wo.T, out=new("dc", m * SCORED, d)).reshape(shape)
-        dkv = new("dkv", m, WINDOW, 2 * d)
-        np.matmul(a.transpose(0, 2, 1), dc, out=dkv[..., d:])
-        ds = np.matmul(dc, v.transpose(0, 2, 1), out=new("ds", m, SCORED, WINDOW))
-        ds -= np.einsum("ijk,ijk->ij", dc, c)[..., None]
+        dWc, db = (e.T @ h).T * eb, (r[:, 0] @ e) * eb
+        du = np.matmul(dh, Wvo.T, out=new("du", m * SCORED, d))
+        dWvo = flat(u).T @ dh
+        ds = np.matmul(du.reshape(shape), xt, out=new("ds", m, SCORED, WINDOW))
+        whole = flat(ds)
+        whole -= ((flat(u) * du) @ ones[:d])[:, None]
         ds *= a
-        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[..., :d])
-        dq = np.matmul(ds, k, out=new("dq", *shape))
-        dWq, dWkv, dWo = by_block(xq, dq) * scale, by_block(x, dkv), by_block(c, dh)
-        dx = np.matmul(flat(dkv), Wkv.T, out=new("dx", m * WINDOW, d)).reshape(x.shape)
-        dh += np.matmul(flat(dq), Wq.T, out=flat(q))
+        dq = flat(np.matmul(ds, x, out=new("dq", *shape)))
+        dWqk = flat(xq).T @ dq * scale
+        dx = np.matmul(ds.transpose(0, 2, 1), q, out=new("dx", m, WINDOW, d))
+        dx += np.matmul(a.transpose(0, 2, 1), du.reshape(shape), out=new("more", m, WINDOW, d))
+        dh += np.matmul(dq, Wqk.T, out=flat(xq))
         dx[:, OVERLAP:] += dh.reshape(shape)
         by = np.argsort(ids.astype(np.uint16), axis=None, kind="stable")
         sorted_ = ids.ravel()[by]
-        first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
+        first = firsts(sorted_)
         dE = np.add.reduceat(np.take(flat(dx), by, axis=0, out=flat(x), mode="clip"), first)
-        return loss, sorted_[first], {"E": dE, "P": dx.sum(0), "Wq": dWq, "Wk": dWkv[:, :d], "Wv": dWkv[:, d:], "Wo": dWo, "Wc": dWc, "b": db}
+        return loss, sorted_[first], {"E": dE, "P": dx.sum(0), "Wq": dWqk @ self.Wk, "Wk": dWqk.T @ self.Wq, "Wv": dWvo @ self.Wo.T, "Wo": self.Wv.T @ dWvo, "Wc": dWc, "b": db}
 
     def held(self, name: str, *shape: int) -> np.ndarray:
         """An array for a step's results, the same in the next step of this shape."""
@@ -285,49 +309,46 @@ class Attention:
         return got
 
     def fused(self) -> Attention:
-        """With the projections of every id and place worked out once."""
-        scale = np.float32(WIDTH**-0.5)
-        f32 = lambda *x: np.ascontiguousarray(np.hstack(x), dtype=np.float32)
-        self.EK, self.PK = f32(self.E @ self.Wk), f32(self.P @ self.Wk)
-        self.EV, self.PV = f32(self.E @ self.Wv @ self.Wo), f32(self.P @ self.Wv @ self.Wo)
-        self.EX = f32(self.E, self.E @ self.Wq * scale)
-        self.PX = f32(self.P, self.P @ self.Wq * scale)[OVERLAP:]
+        """With the products of projections and the bounds worked out once."""
+        self.Wqk, self.Wvo = self.Wq @ self.Wk.T * np.float32(WIDTH**-0.5), self.Wv @ self.Wo
         self.eb = np.exp(self.b)
         self.own_b = self.b[self.class_of] + self.log_share
-        norm = lambda y, z: float(np.sqrt((y * y).sum(1)).max() + np.sqrt((z * z).sum(1)).max())
-        d = WIDTH
-        self.most_s = norm(self.EX[:, d:], self.PX[:, d:]) * norm(self.EK, self.PK)
-        self.most_z = (norm(self.E, self.P) + norm(self.EV, self.PV)) * float(np.sqrt((self.Wc**2).sum(0)).max())
+        norm = lambda w: float(np.sqrt(((self.E @ w) ** 2).sum(1)).max() + np.sqrt(((self.P @ w) ** 2).sum(1)).max())
+        whole = np.eye(WIDTH, dtype=np.float32)
+        self.most_s = norm(self.Wqk) * norm(whole)
+        self.most_c = float(np.sqrt((self.Wc**2).sum(0)).max())
+        self.most_z = (norm(whole) + norm(self.Wvo)) * self.most_c
         return self
 
     def log_probabilities(self, ids: np.ndarray, valid: np.ndarray, targets: np.ndarray, step: int = 256) -> np.ndarray:
         """Natural logarithms for the last SCORED places of each window. Scores are only clipped where their bounds don't rule out that
         an exponential overflows."""
         out = np.zeros((len(ids), SCORED), np.float32)
-        d = WIDTH
+        d, new, ones = WIDTH, self.held, np.ones(WINDOW, np.float32)
         for a in range(0, len(ids), step):
             i, ok, t = ids[a : a + step], valid[a : a + step], targets[a : a + step].ravel()
             m = len(i)
-            k = np.take(self.EK, i, axis=0, out=self.held("k", m, WINDOW, d), mode="clip")
-            v = np.take(self.EV, i, axis=0, out=self.held("v", m, WINDOW, d), mode="clip")
-            k += self.PK
-            v += self.PV
-            x = np.take(self.EX, i[:, OVERLAP:], axis=0, out=self.held("x", m, SCORED, 2 * d), mode="clip")
-            x += self.PX
-            s = np.matmul(x[:, :, d:], k.transpose(0, 2, 1), out=self.held("s", m, SCORED, WINDOW))
+            x = np.take(self.E, i, axis=0, out=new("x", m, WINDOW, d), mode="clip")
+            x += self.P
+            xq = new("xq", m, SCORED, d)
+            xq[:] = x[:, OVERLAP:]
+            xq = xq.reshape(-1, d)
+            q = np.matmul(xq, self.Wqk, out=new("q", m * SCORED, d)).reshape(m, SCORED, d)
+            s = np.matmul(q, x.transpose(0, 2, 1), out=new("s", m, SCORED, WINDOW))
             if self.most_s > 60:
                 np.clip(s, -30, 30, out=s)
             np.exp(s, out=s)
             s *= self.mask
-            if not ok.all():
-                s *= ok[:, None, :]
-            h = np.matmul(s, v, out=self.held("h", m, SCORED, d))
-            h *= (1 / (s.reshape(-1, WINDOW) @ np.ones(WINDOW, np.float32) + np.float32(1e-30))).reshape(m, SCORED, 1)
-            h += x[:, :, :d]
-            z = np.matmul(h.reshape(-1, d), self.Wc, out=self.held("z", m * SCORED, CLASSES))
-            if self.most_z > 60:
+            part = np.flatnonzero(~ok.all(1))
+            s[part] *= ok[part, None, :]
+            u = np.matmul(s, x, out=new("u", m, SCORED, d))
+            u *= (1 / (s.reshape(-1, WINDOW) @ ones + np.float32(1e-30))).reshape(m, SCORED, 1)
+            h = np.matmul(u.reshape(-1, d), self.Wvo, out=new("h", m * SCORED, d))
+            h += xq
+            z = np.matmul(h, self.Wc, out=new("e", m * SCORED, CLASSES))
+            if self.most_z > 60 and float(((h * h) @ ones[:d]).max()) * self.most_c**2 > 3600:
                 z -= z.max(1, keepdims=True)
-            own = np.take_along_axis(z, self.class_of[t].astype(np.int64)[:, None], 1)[:, 0]
+            own = z.ravel()[np.arange(len(z)) * CLASSES + self.class_of[t]]
             np.exp(z, out=z)
             out[a : a + step] = (own + self.own_b[t] - np.log(z @ self.eb)).reshape(-1, SCORED)
         return out
@@ -352,9 +373,11 @@ class Learner:
         loss, ids, grads = m.gradients(np.where(valid, inputs, END), valid, m.class_of[np.where(targets != NONE, targets, END)], scored)
         self.t += 1
         g = grads["E"]
-        self.squares[ids] += (g * g).mean(1)
+        squares = self.squares[ids] + (g * g).mean(1)
+        self.squares[ids] = squares
         self.seen[ids] = True
-        m.E[ids] -= np.float32(4 * self.rate) * g / np.sqrt(self.squares[ids])[:, None]
+        g *= (np.float32(4 * self.rate) / np.sqrt(squares))[:, None]
+        m.E[ids] -= g
         for n in m.SMALL:
             self.m1[n] = 0.9 * self.m1[n] + 0.1 * grads[n]
             self.m2[n] = 0.99 * self.m2[n] + 0.01 * grads[n] ** 2
@@ -380,9 +403,9 @@ def corpus_pass(docs: DataFrame, text_col: str, tokenizers: str, share: int) ->
 
         def flush():
             h, n = (np.concatenate(x) for x in zip(*words))
-            order = np.argsort(h, kind="stable")
+            order = sorting(h.view(np.uint64))
             h, n = h[order], n[order]
-            first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            first = firsts(h)
             return rows("w", h[first], np.add.reduceat(n, first))
 
         def rows(kind, key, n, w=None):
@@ -620,21 +643,23 @@ def score(docs: DataFrame, fitted, *, text_col="text", tokenizers: str = TOKENIZ
                     size = c.sizes[c.inverse]
                     stream = subwords.flat[gathered(c.first[c.inverse], size)]
                     edge = np.concatenate(([0], np.cumsum(size)))[c.bounds]
+                    words_of = np.diff(c.bounds)
+                    of = np.repeat(c.owner, words_of)
+                    n_tokens += np.bincount(c.owner, words_of, n).astype(np.int64)
+                    known += np.bincount(of, hit[c.inverse], n).astype(np.int64)
+                    logs += np.bincount(of, value[c.inverse], n)
+                    left = np.flatnonzero(~hit[c.inverse])
+                    if len(left):
+                        pairs, each = np.unique(of[left] * len(hit) + c.inverse[left], return_counts=True)
+                        of_pair, word = np.divmod(pairs, len(hit))
+                        edges = firsts(of_pair)
+                        for i, a, z in zip(of_pair[edges].tolist(), edges.tolist(), np.append(edges[1:], len(pairs)).tolist()):
+                            rare[i] += c.unique[word[a:z]].tolist()
+                            times[i] += each[a:z].tolist()
                 else:
                     stream, edge = np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64)
                 streams, leads, owners = [], [], []
                 for k, (i, last) in enumerate(zip(c.owner.tolist(), c.last.tolist())):
-                    a, z = c.bounds[k], c.bounds[k + 1]
-                    n_tokens[i] += z - a
-                    if z > a:
-                        own = c.inverse[a:z]
-                        logs[i] += value[own].sum()
-                        known[i] += hit[own].sum()
-                        left = own[~hit[own]]
-                        if len(left):
-                            u, t = np.unique(left, return_counts=True)
-                            rare[i] += c.unique[u].tolist()
-                            times[i] += t.tolist()
                     ids, lead = carried.pop(i, (np.array([END]), 0))
                     ids = np.concatenate((ids, stream[edge[k] : edge[k + 1]], [END] if last else [])).astype(np.int64)
                     if not last:  # the rest of the text takes up at a window's border, with the context that the window has

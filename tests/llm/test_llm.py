@@ -469,6 +469,43 @@ def test_training_takes_every_token(spark, monkeypatch):
     assert lm_scoring.preceding(windows).sum() == sum(counts.values())
 
 
+def test_a_step_projects_scored_places_only():
+    """What a training step keeps for a window: keys and values of the places before the scored ones have no projections of their own
+    (5,888 numbers with them). Its gradients with respect to the four projections are those of small changes, padded windows included."""
+    r = np.random.default_rng(3)
+    m = lm_scoring.Attention()
+    m.class_of[:] = np.arange(lm_scoring.IDS) % lm_scoring.CLASSES
+    rows = r.integers(0, 90, (64, lm_scoring.WINDOW + 1))
+    rows[:9, :5], rows[40:, -7:] = lm_scoring.NONE, lm_scoring.NONE
+    inputs, targets = rows[:, :-1], rows[:, lm_scoring.OVERLAP + 1 :]
+    valid, scored = inputs != lm_scoring.NONE, targets != lm_scoring.NONE
+    args = np.where(valid, inputs, lm_scoring.END), valid, m.class_of[np.where(scored, targets, lm_scoring.END)], scored
+    _, _, g = m.gradients(*args)
+    assert sum(x.size for x in m.space.values()) / 64 < 5000
+    for name in ("Wq", "Wk", "Wv", "Wo"):
+        w, along = getattr(m, name), r.standard_normal((lm_scoring.WIDTH, lm_scoring.WIDTH)).astype(np.float32)
+        loss = []
+        for e in (1e-2, -1e-2):
+            setattr(m, name, w + np.float32(e) * along)
+            loss.append(m.gradients(*args)[0])
+        setattr(m, name, w)
+        assert abs((loss[0] - loss[1]) / 2e-2 - (g[name] * along).sum()) < 2e-3, name
+
+
+def test_sorting_of_hashes():
+    """As a stable sort has it, also where hashes differ in their low bits alone, and for words of a chunk."""
+    r = np.random.default_rng(4)
+    for h in (r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), r.integers(0, 40, 3000).astype(np.uint64), np.zeros(0, np.uint64), np.full(7, 2**64 - 1, np.uint64)):
+        assert (lm_scoring.sorting(h) == np.argsort(h, kind="stable")).all()
+    text = "  one two\tthree\n one  two \u00e4\u00f6 one"
+    subwords = lm_scoring.Subwords(lm_scoring.TOKENIZERS)
+    c = lm_scoring.Chunk([(0, text.encode(), True), (1, b"", True), (2, b"two last", True)], subwords)
+    words = text.split() + ["two", "last"]
+    ids = [subwords.flat[a : a + n].tolist() for a, n in zip(c.first[c.inverse], c.sizes[c.inverse])]
+    assert ids == [subwords.encoder.encode_ordinary(" " + w) for w in words]
+    assert c.bounds.tolist() == [0, 7, 7, 9] and c.counts[c.inverse].tolist() == [words.count(w) for w in words]
+
+
 def test_pipeline(spark, docs, bench, tmp_path):
     docs.drop("row", "lines").write.parquet(str(tmp_path / "documents.parquet"))
     bench.write.parquet(str(tmp_path / "benchmark.parquet"))
