@@ -5,12 +5,14 @@ from __future__ import annotations
 import os
 import posixpath
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import values
@@ -134,15 +136,15 @@ def from_contents(df: DataFrame) -> DataFrame:
 
     kind = to_arrow_type(EXTRACTED)
 
-    def one(content: str | None):
-        got = markdown.extract(content or "")
+    def one(got: dict):
         return got | {"fm": [(k, values.value_of(v)) for k, v in got["fm"].items()], "sections": list(got["sections"].items())}
 
-    @F.arrow_udf(EXTRACTED)
-    def extracted(content: pa.Array) -> pa.Array:
-        return pa.array([one(c) for c in content.to_pylist()], kind)
+    def extracted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            for held in markdown.frames((c.as_py() or "" for c in b), FRAME_CHARS):
+                yield pa.array([one(got) for got in held], kind)
 
-    out = placed(df).withColumn("x", extracted("content"))
+    out = placed(df).withColumn("x", F.arrow_udf(extracted, EXTRACTED, ArrowUDFType.SCALAR_ITER)("content"))
     if "scan_ord" not in df.columns:
         out = out.withColumn("scan_ord", F.monotonically_increasing_id())
     return out.select("path", "dir", "base", "depth", "ancestors", F.lit("markdown").alias("type"), *[f"x.{f.name}" for f in EXTRACTED.fields[:5]], no_values().alias("derived"), "x.errors", "scan_ord").select(*RECORD)

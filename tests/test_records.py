@@ -214,3 +214,15 @@ def test_rollups_aggregate_before_rows_travel(spark):
         assert {r.path: r.kids for r in below.collect()} == {"README.md": "4002", "d/README.md": "4000", "e/README.md": "0"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_extraction_goes_by_frames(spark, monkeypatch):
+    texts = [f"---\nn: {i}\n---\n# H{i}\n{'x' * i}\n[[T{i}]]\n" for i in range(60)]
+    assert [len(x) for x in markdown.frames(["x" * 10] * 10 + ["x" * 90, ""], 25)] == [3, 3, 3, 2, 1]
+    monkeypatch.setattr(records, "FRAME_CHARS", 100)
+    df = spark.createDataFrame([(f"D{i}.md", t, i) for i, t in enumerate([*texts, "", None])], "path string, content string, scan_ord long").coalesce(1)
+    got = {r.path: r for r in records.from_contents(df).collect()}
+    assert len(got) == 62 and got["D60.md"].body == got["D61.md"].body == ""
+    for i, t in enumerate(texts):
+        r, want = got[f"D{i}.md"], markdown.extract(t)
+        assert r.body == want["body"] and r.fm["n"]["text"] == str(i) and r.links[0].target == f"T{i}" and [s.heading for s in r.body_sections] == [f"H{i}"]
