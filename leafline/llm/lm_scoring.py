@@ -32,6 +32,8 @@ SHARE, ROUNDS, LEAST_STEPS, BATCH, RATE, PACK = 1, 2, 300, 256, 0.02, 32
 #: In a window: no subword. Groups of ids that what comes before an id is counted by. Slices that arrays are summed in. Changes of
 #: weights are summed as multiples of 1 / FIXED.
 NONE, BUCKETS, SLICES, FIXED = 65_535, 64, 64, float(1 << 32)
+#: Rows of a matrix product. Exponentials are powers of 2, which numpy is quicker at: weights that lead to one have this factor.
+BLOCK, UNIT = 512, np.float32(np.log2(np.e))
 #: Words whose counts are broadcast: the most frequent, 12 bytes each. The others are joined.
 FREQUENT = 1_000_000
 #: Words whose subwords a task keeps.
@@ -182,6 +184,25 @@ def windows(bounds: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.where(valid, place + (bounds[:-1] + lead)[seq][:, None], 0), valid, valid[:, OVERLAP:], seq
 
 
+def product(a: np.ndarray, b: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """a @ b, BLOCK rows at a time: BLAS packs larger matrices before it multiplies them, which takes longer than these products."""
+    b, k = np.ascontiguousarray(b), len(a) // BLOCK * BLOCK
+    np.matmul(a[:k].reshape(-1, BLOCK, a.shape[1]), b, out=out[:k].reshape(-1, BLOCK, out.shape[1]))
+    np.matmul(a[k:], b, out=out[k:])
+    return out
+
+
+def spread(values: np.ndarray, columns: int) -> np.ndarray:
+    """A matrix of equal columns. Rows of a few columns are scaled faster by it than by a column."""
+    return np.repeat(values, columns).reshape(-1, columns)
+
+
+def crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, in the same way."""
+    k = len(a) // BLOCK * BLOCK
+    return np.matmul(a[:k].reshape(-1, BLOCK, a.shape[1]).transpose(0, 2, 1), b[:k].reshape(-1, BLOCK, b.shape[1])).sum(0) + a[k:].T @ b[k:]
+
+
 class Attention:
     """x = E[id] + P[place]; context by one masked head; logits of classes from x and context."""
 
@@ -243,63 +264,91 @@ class Attention:
     def gradients(self, ids, valid, classes, scored) -> tuple[float, np.ndarray, dict]:
         """The loss in nats a target, the distinct ids, and gradients; that of E has a row for each of them. The function of forward, but
         the projections of queries and keys, and of values and output, are multiplied first, so that only the scored places are
-        projected. Products go over all places at once in arrays that are kept; logits are only shifted where a bound doesn't rule
-        out an overflow. Places that aren't valid get no gradient, as their weights are 0."""
+        projected. Products go over all places at once in arrays that are kept. Weights of places stay exponentials, and their sums
+        divide what is made of them. Scores are clipped and logits shifted only where the sums show that it matters. Places that
+        aren't valid get no gradient, as their weights are 0."""
         d, m, scale = WIDTH, len(ids), np.float32(WIDTH**-0.5)
         n = max(1, int(scored.sum()))
         flat = lambda y: y.reshape(-1, y.shape[-1])
-        new, shape = self.held, (m, SCORED, d)
+        new, shape, many = self.held, (m, SCORED, d), (m * SCORED, d)
         Wqk, Wvo, eb, ones = self.Wq @ self.Wk.T * scale, self.Wv @ self.Wo, np.exp(self.b), np.ones(WINDOW, np.float32)
         x = np.take(self.E, ids, axis=0, out=new("x", m, WINDOW, d), mode="clip")
         x += self.P
-        xt = x.transpose(0, 2, 1)
-        xq = new("xq", *shape)
+        xq, xt = new("xq", *shape), new("xt", m, d, WINDOW)
         xq[:] = x[:, OVERLAP:]
-        q = np.matmul(flat(xq), Wqk, out=new("q", m * SCORED, d)).reshape(shape)
-        a = np.matmul(q, xt, out=new("a", m, SCORED, WINDOW))
-        if max(a.max(), -a.min()) > 30:
-            np.clip(a, -30, 30, out=a)
-        np.exp(a, out=a)
-        a *= self.mask
-        part = np.flatnonzero(~valid.all(1))
-        a[part] *= valid[part, None, :]
-        whole = flat(a)
-        whole *= (1 / (whole @ ones + np.float32(1e-30)))[:, None]
-        u = np.matmul(a, x, out=new("u", *shape))
-        h = np.matmul(flat(u), Wvo, out=new("h", m * SCORED, d))
+        xt[:] = x.transpose(0, 2, 1)
+        q = product(flat(xq), Wqk * UNIT, new("q", *many)).reshape(shape)
+        a, sums = self.weights(q, xt, valid)
+        q *= np.float32(1 / UNIT)
+        inverse = spread(1 / sums, d)
+        u = flat(np.matmul(a, x, out=new("u", *shape)))
+        u *= inverse
+        h = product(u, Wvo, new("h", *many))
         h += flat(xq)
-        e = np.matmul(h, self.Wc, out=new("e", m * SCORED, CLASSES))
-        if float(((h * h) @ ones[:d]).max()) * float((self.Wc * self.Wc).sum(0).max()) > 3600:
-            e -= e.max(1, keepdims=True)
-        np.exp(e, out=e)
-        total = e @ eb
         once, at = scored.ravel(), classes.ravel()
-        cell = np.arange(len(e)) * CLASSES + at
-        own, share = e.ravel()[cell], eb[at]
+        cell = np.arange(0, len(h) * CLASSES, CLASSES) + at
+        e, total, own = self.odds(h, self.Wc * UNIT, eb, cell)
+        own, share = np.exp2(own), np.take(eb, at)
         loss = float(-(np.log(own * share / total + 1e-30) * once).sum() / n)
         e.ravel()[cell] = own - total / share  # with the factors r and eb: the probabilities, less 1 at the class
-        r = (once / (total * np.float32(n)))[:, None]
-        dh = np.matmul(e, (self.Wc * eb).T, out=new("dh", m * SCORED, d))
-        dh *= r
-        h *= r
-        dWc, db = (e.T @ h).T * eb, (r[:, 0] @ e) * eb
-        du = np.matmul(dh, Wvo.T, out=new("du", m * SCORED, d))
-        dWvo = flat(u).T @ dh
+        r = once / (total * np.float32(n))
+        dh = product(e, np.ascontiguousarray((self.Wc * eb).T), new("dh", *many))
+        wide = spread(r, d)
+        dh *= wide
+        h *= wide
+        dWc, db = crossed(h, e) * eb, (r @ e) * eb
+        dWvo = crossed(u, dh)
+        du = product(dh, Wvo.T, new("du", *many))
+        u *= du
+        du *= inverse
         ds = np.matmul(du.reshape(shape), xt, out=new("ds", m, SCORED, WINDOW))
-        whole = flat(ds)
-        whole -= ((flat(u) * du) @ ones[:d])[:, None]
+        ds -= spread(u @ ones[:d] / sums, WINDOW).reshape(ds.shape)
         ds *= a
-        dq = flat(np.matmul(ds, x, out=new("dq", *shape)))
-        dWqk = flat(xq).T @ dq * scale
+        dq = flat(np.matmul(ds, x, out=new("u", *shape)))
+        dWqk = crossed(flat(xq), dq) * scale
         dx = np.matmul(ds.transpose(0, 2, 1), q, out=new("dx", m, WINDOW, d))
-        dx += np.matmul(a.transpose(0, 2, 1), du.reshape(shape), out=new("more", m, WINDOW, d))
-        dh += np.matmul(dq, Wqk.T, out=flat(xq))
+        dx += np.matmul(a.transpose(0, 2, 1), du.reshape(shape), out=x)
+        dh += product(dq, Wqk.T, flat(xq))
         dx[:, OVERLAP:] += dh.reshape(shape)
-        by = np.argsort(ids.astype(np.uint16), axis=None, kind="stable")
-        sorted_ = ids.ravel()[by]
+        ids = ids.astype(np.uint16)
+        by = np.argsort(ids, axis=None, kind="stable")
+        sorted_ = np.take(ids, by)
         first = firsts(sorted_)
         dE = np.add.reduceat(np.take(flat(dx), by, axis=0, out=flat(x), mode="clip"), first)
-        return loss, sorted_[first], {"E": dE, "P": dx.sum(0), "Wq": dWqk @ self.Wk, "Wk": dWqk.T @ self.Wq, "Wv": dWvo @ self.Wo.T, "Wo": self.Wv.T @ dWvo, "Wc": dWc, "b": db}
+        return loss, sorted_[first], {"E": dE, "P": (np.ones(m, np.float32) @ dx.reshape(m, -1)).reshape(WINDOW, d), "Wq": dWqk @ self.Wk, "Wk": dWqk.T @ self.Wq, "Wv": dWvo @ self.Wo.T, "Wo": self.Wv.T @ dWvo, "Wc": dWc, "b": db}
+
+    def weights(self, q: np.ndarray, xt: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Exponentials of the scores q @ xt of the places that a place may look at, 0 at the others, and their sums. q has the factor
+        UNIT. Scores are clipped to 30 on both sides: sums within the bounds say that none is above, and that what is below is nothing
+        beside them; else all are made again and clipped."""
+        a, ones, bound = self.held("a", len(q), SCORED, WINDOW), np.ones(WINDOW, np.float32), np.float32(30 * UNIT)
+        cut = np.flatnonzero(~valid) // WINDOW
+        cut = cut[firsts(cut)]
+        for clipped in (False, True):
+            np.matmul(q, xt, out=a)
+            if clipped:
+                np.clip(a, -bound, bound, out=a)
+            with np.errstate(over="ignore", invalid="ignore"):
+                np.exp2(a, out=a)
+                a *= self.mask
+                a[cut] *= valid[cut, None, :]
+                sums = a.reshape(-1, WINDOW) @ ones
+            if clipped or not len(q) or (sums.min() > 1e-4 and sums.max() < 1e13):
+                return a, sums + np.float32(1e-30)
+
+    def odds(self, h: np.ndarray, Wc: np.ndarray, eb: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials of h @ Wc, their sums with the factors eb, and of the logits, before their exponentials, those in the cells. Wc
+        has the factor UNIT. Where a sum leaves the bounds, the largest of a row is taken off all of them first."""
+        e = self.held("e", len(h), CLASSES)
+        for shifted in (False, True):
+            product(h, Wc, e)
+            if shifted:
+                e -= e.max(1, keepdims=True)
+            own = np.take(e, cell)
+            with np.errstate(over="ignore", invalid="ignore"):
+                total = np.exp2(e, out=e) @ eb
+            if shifted or not len(h) or (total.min() > 1e-20 and total.max() < 1e20):
+                return e, total, own
 
     def held(self, name: str, *shape: int) -> np.ndarray:
         """An array for a step's results, the same in the next step of this shape."""
@@ -309,48 +358,34 @@ class Attention:
         return got
 
     def fused(self) -> Attention:
-        """With the products of projections and the bounds worked out once."""
-        self.Wqk, self.Wvo = self.Wq @ self.Wk.T * np.float32(WIDTH**-0.5), self.Wv @ self.Wo
-        self.eb = np.exp(self.b)
+        """With the products of projections worked out once."""
+        self.Wqk, self.Wvo = self.Wq @ self.Wk.T * np.float32(WIDTH**-0.5) * UNIT, self.Wv @ self.Wo
+        self.Wcu, self.eb = self.Wc * UNIT, np.exp(self.b)
         self.own_b = self.b[self.class_of] + self.log_share
-        norm = lambda w: float(np.sqrt(((self.E @ w) ** 2).sum(1)).max() + np.sqrt(((self.P @ w) ** 2).sum(1)).max())
-        whole = np.eye(WIDTH, dtype=np.float32)
-        self.most_s = norm(self.Wqk) * norm(whole)
-        self.most_c = float(np.sqrt((self.Wc**2).sum(0)).max())
-        self.most_z = (norm(whole) + norm(self.Wvo)) * self.most_c
         return self
 
     def log_probabilities(self, ids: np.ndarray, valid: np.ndarray, targets: np.ndarray, step: int = 256) -> np.ndarray:
-        """Natural logarithms for the last SCORED places of each window. Scores are only clipped where their bounds don't rule out that
-        an exponential overflows."""
+        """Natural logarithms for the last SCORED places of each window."""
         out = np.zeros((len(ids), SCORED), np.float32)
-        d, new, ones = WIDTH, self.held, np.ones(WINDOW, np.float32)
+        d, new = WIDTH, self.held
         for a in range(0, len(ids), step):
             i, ok, t = ids[a : a + step], valid[a : a + step], targets[a : a + step].ravel()
             m = len(i)
             x = np.take(self.E, i, axis=0, out=new("x", m, WINDOW, d), mode="clip")
             x += self.P
-            xq = new("xq", m, SCORED, d)
+            xq, xt = new("xq", m, SCORED, d), new("xt", m, d, WINDOW)
             xq[:] = x[:, OVERLAP:]
+            xt[:] = x.transpose(0, 2, 1)
             xq = xq.reshape(-1, d)
-            q = np.matmul(xq, self.Wqk, out=new("q", m * SCORED, d)).reshape(m, SCORED, d)
-            s = np.matmul(q, x.transpose(0, 2, 1), out=new("s", m, SCORED, WINDOW))
-            if self.most_s > 60:
-                np.clip(s, -30, 30, out=s)
-            np.exp(s, out=s)
-            s *= self.mask
-            part = np.flatnonzero(~ok.all(1))
-            s[part] *= ok[part, None, :]
-            u = np.matmul(s, x, out=new("u", m, SCORED, d))
-            u *= (1 / (s.reshape(-1, WINDOW) @ ones + np.float32(1e-30))).reshape(m, SCORED, 1)
-            h = np.matmul(u.reshape(-1, d), self.Wvo, out=new("h", m * SCORED, d))
+            q = product(xq, self.Wqk, new("q", m * SCORED, d)).reshape(m, SCORED, d)
+            s, sums = self.weights(q, xt, ok)
+            u = np.matmul(s, x, out=new("u", m, SCORED, d)).reshape(-1, d)
+            u *= spread(1 / sums, d)
+            h = product(u, self.Wvo, new("h", m * SCORED, d))
             h += xq
-            z = np.matmul(h, self.Wc, out=new("e", m * SCORED, CLASSES))
-            if self.most_z > 60 and float(((h * h) @ ones[:d]).max()) * self.most_c**2 > 3600:
-                z -= z.max(1, keepdims=True)
-            own = z.ravel()[np.arange(len(z)) * CLASSES + self.class_of[t]]
-            np.exp(z, out=z)
-            out[a : a + step] = (own + self.own_b[t] - np.log(z @ self.eb)).reshape(-1, SCORED)
+            cell = np.arange(0, len(h) * CLASSES, CLASSES) + np.take(self.class_of, t)
+            _, total, own = self.odds(h, self.Wcu, self.eb, cell)
+            out[a : a + step] = (own * (1 / UNIT) + np.take(self.own_b, t) - np.log(total)).reshape(-1, SCORED)
         return out
 
 
@@ -361,28 +396,33 @@ class Learner:
         self.model, self.rate, self.t = model, rate, 0
         self.seen = np.zeros(IDS, bool)
         self.squares = np.full(IDS, 1e-8, np.float32)
-        self.m1, self.m2 = ({n: np.zeros_like(getattr(model, n)) for n in model.SMALL} for _ in range(2))
+        self.small = np.concatenate([getattr(model, n).ravel() for n in model.SMALL])
+        at = 0
+        for n in model.SMALL:  # from here on parts of one array, so that a step changes them at once
+            v = getattr(model, n)
+            setattr(model, n, self.small[at : at + v.size].reshape(v.shape))
+            at += v.size
+        self.m1, self.m2 = np.zeros_like(self.small), np.zeros_like(self.small)
 
     def step(self, rows: np.ndarray) -> float:
         """One batch of windows: WINDOW inputs and one target more, NONE where there is none."""
-        rows = rows.astype(np.int64)
-        inputs, targets = rows[:, :-1], rows[:, OVERLAP + 1 :]
-        valid = inputs != NONE
-        scored = (targets != NONE) & valid[:, OVERLAP:]
+        valid = rows[:, :-1] != NONE
+        scored = (rows[:, OVERLAP + 1 :] != NONE) & valid[:, OVERLAP:]
+        ids = np.minimum(rows, np.uint16(END))  # NONE is above the ids, and END the last of them
         m = self.model
-        loss, ids, grads = m.gradients(np.where(valid, inputs, END), valid, m.class_of[np.where(targets != NONE, targets, END)], scored)
+        loss, ids, grads = m.gradients(ids[:, :-1], valid, np.take(m.class_of, ids[:, OVERLAP + 1 :]), scored)
         self.t += 1
         g = grads["E"]
-        squares = self.squares[ids] + (g * g).mean(1)
+        squares = self.squares[ids] + (g * g) @ np.full(WIDTH, 1 / WIDTH, np.float32)
         self.squares[ids] = squares
         self.seen[ids] = True
         g *= (np.float32(4 * self.rate) / np.sqrt(squares))[:, None]
-        m.E[ids] -= g
-        for n in m.SMALL:
-            self.m1[n] = 0.9 * self.m1[n] + 0.1 * grads[n]
-            self.m2[n] = 0.99 * self.m2[n] + 0.01 * grads[n] ** 2
-            step = (self.m1[n] / (1 - 0.9**self.t)) / (np.sqrt(self.m2[n] / (1 - 0.99**self.t)) + 1e-6)
-            setattr(m, n, (getattr(m, n) - self.rate * min(1.0, self.t / 10) * step).astype(np.float32))
+        m.E[ids] = np.take(m.E, ids, axis=0) - g
+        g = np.concatenate([grads[n].ravel() for n in m.SMALL])
+        self.m1 = 0.9 * self.m1 + 0.1 * g
+        self.m2 = 0.99 * self.m2 + 0.01 * g**2
+        step = (self.m1 / (1 - 0.9**self.t)) / (np.sqrt(self.m2 / (1 - 0.99**self.t)) + 1e-6)
+        self.small -= (self.rate * min(1.0, self.t / 10) * step).astype(np.float32)
         return loss
 
 
@@ -632,6 +672,7 @@ def score(docs: DataFrame, fitted, *, text_col="text", tokenizers: str = TOKENIZ
             rare: list[list] = [[] for _ in texts]
             times: list[list] = [[] for _ in texts]
             carried: dict[int, tuple[np.ndarray, int]] = {}
+            end = np.array([END], np.uint16)
             for parts in pieces_of(texts):
                 c = Chunk(parts, subwords)
                 if len(c.unique):
@@ -641,7 +682,7 @@ def score(docs: DataFrame, fitted, *, text_col="text", tokenizers: str = TOKENIZ
                     count = np.where(hit, s.counts[at] if len(s.hashes) else 0, 0)
                     value = np.log10(count + 1.0)
                     size = c.sizes[c.inverse]
-                    stream = subwords.flat[gathered(c.first[c.inverse], size)]
+                    stream = subwords.flat[gathered(c.first[c.inverse], size)].astype(np.uint16)
                     edge = np.concatenate(([0], np.cumsum(size)))[c.bounds]
                     words_of = np.diff(c.bounds)
                     of = np.repeat(c.owner, words_of)
@@ -657,11 +698,11 @@ def score(docs: DataFrame, fitted, *, text_col="text", tokenizers: str = TOKENIZ
                             rare[i] += c.unique[word[a:z]].tolist()
                             times[i] += each[a:z].tolist()
                 else:
-                    stream, edge = np.zeros(0, np.int32), np.zeros(len(parts) + 1, np.int64)
+                    stream, edge = np.zeros(0, np.uint16), np.zeros(len(parts) + 1, np.int64)
                 streams, leads, owners = [], [], []
                 for k, (i, last) in enumerate(zip(c.owner.tolist(), c.last.tolist())):
-                    ids, lead = carried.pop(i, (np.array([END]), 0))
-                    ids = np.concatenate((ids, stream[edge[k] : edge[k + 1]], [END] if last else [])).astype(np.int64)
+                    ids, lead = carried.pop(i, (end, 0))
+                    ids = np.concatenate((ids, stream[edge[k] : edge[k + 1]], end[:last]))
                     if not last:  # the rest of the text takes up at a window's border, with the context that the window has
                         full = lead + (len(ids) - 1 - lead) // SCORED * SCORED
                         keep = max(0, full - OVERLAP)
@@ -675,8 +716,8 @@ def score(docs: DataFrame, fitted, *, text_col="text", tokenizers: str = TOKENIZ
                 if not len(inputs):
                     continue
                 place, valid, scored, seq_of = windows(np.concatenate(([0], np.cumsum(sizes))), np.array(leads))
-                got = model.log_probabilities(inputs[place], valid, targets[place[:, OVERLAP:]])
-                np.add.at(total_, np.array(owners)[seq_of], (got.astype(np.float64) * scored).sum(1))
+                got = model.log_probabilities(np.take(inputs, place), valid, np.take(targets, place[:, OVERLAP:]))
+                total_ += np.bincount(np.array(owners)[seq_of], (got * scored).astype(np.float64) @ np.ones(SCORED), n)
             out = [n_tokens, known, logs, total_ / np.log(10.0), rare, times]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, types))], labels)
 

@@ -492,6 +492,45 @@ def test_a_step_projects_scored_places_only():
         assert abs((loss[0] - loss[1]) / 2e-2 - (g[name] * along).sum()) < 2e-3, name
 
 
+def test_products_by_blocks():
+    """As one product has them, whatever the number of rows."""
+    r = np.random.default_rng(5)
+    for n in (0, 1, lm_scoring.BLOCK - 1, lm_scoring.BLOCK, 3 * lm_scoring.BLOCK + 20):
+        a, b, c = (r.standard_normal(s).astype(np.float32) for s in ((n, 16), (16, 64), (n, 64)))
+        assert np.allclose(lm_scoring.product(a, b, np.empty((n, 64), np.float32)), a @ b, atol=1e-4)
+        assert np.allclose(lm_scoring.product(c, b.T, np.empty((n, 16), np.float32)), c @ b.T, atol=1e-4)
+        assert np.allclose(lm_scoring.crossed(a, c), a.T @ c, atol=1e-3)
+
+
+def test_extreme_scores_and_logits():
+    """Training and scoring are the function of forward also where scores are beyond 30 and logits would overflow, in both directions."""
+    r = np.random.default_rng(6)
+    clipped = shifted = 0
+    for embeddings, keys, logits in ((1, 1, 1), (1, 9, 1), (4, 2, 1), (30, 30, 1), (1, 1, 300), (30, 1, 30)):
+        m = lm_scoring.Attention()
+        m.class_of[:] = np.arange(lm_scoring.IDS) % lm_scoring.CLASSES
+        m.E *= embeddings * 10
+        m.Wk *= np.float32(keys)
+        m.Wc *= np.float32(logits)
+        ids = r.integers(0, 50, (70, lm_scoring.WINDOW))
+        targets = r.integers(0, 50, (70, lm_scoring.SCORED))
+        valid = np.ones(ids.shape, bool)
+        valid[:9, : lm_scoring.OVERLAP], valid[60:, -5:] = False, False
+        scored = valid[:, lm_scoring.OVERLAP :]
+        f = m.forward(ids, valid)
+        scores = f["q"] @ f["k"].transpose(0, 2, 1) / 4
+        clipped += 30 < np.abs(scores).max() < 60
+        z = (f["h"] @ m.Wc + m.b).astype(np.float64)
+        shifted += z.max() > 100
+        z -= z.max(2, keepdims=True)
+        want = np.take_along_axis(z - np.log(np.exp(z).sum(2, keepdims=True)), m.class_of[targets][..., None].astype(int), 2)[..., 0]
+        loss, _, g = m.gradients(ids, valid, m.class_of[targets], scored)
+        assert np.isclose(loss, -np.maximum(want, np.log(1e-30))[scored].mean(), rtol=1e-3) and all(np.isfinite(v).all() for v in g.values())
+        got = m.fused().log_probabilities(ids, valid, targets) - m.log_share[targets]
+        assert np.allclose(got[scored], want[scored], rtol=1e-3, atol=2e-3), (embeddings, keys, logits)
+    assert clipped and shifted
+
+
 def test_sorting_of_hashes():
     """As a stable sort has it, also where hashes differ in their low bits alone, and for words of a chunk."""
     r = np.random.default_rng(4)
